@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .instants import let
+
 # ---- fixed values -------------------------------------------------------------------------------------
 CLASSES = ("PAYEE", "ACCT", "INST", "PERSON", "CARD")
 STATES = "AL AK AZ AR CA CO CT DE FL GA HI ID IL IN IA KS KY LA ME MD MA MI MN MS MO MT NE NV NH NJ NM NY NC ND OH OK OR PA RI SC SD TN TX UT VT VA WA WV WI WY".split()
@@ -87,17 +89,20 @@ def luhn_valid(digits: Column) -> Column:
 
 def spans(text: Column, pattern: str) -> Column:
     """ARRAY<STRUCT<start, end, raw>> of all matches, left to right, offsets in characters from 0."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
     none = F.array().cast("array<struct<start:int,end:int,raw:string>>")
     zero = F.struct(F.lit(0).alias("at"), none.alias("got"))
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"), F.split(text, pattern, -1).alias("gaps"))
+
+    def of(found: Column) -> Column:  # bound once: the fold reads it at every step
+        def step(acc: Column, i: Column) -> Column:
+            start = acc["at"] + F.length(F.get(found["gaps"], i))
+            hit = F.get(found["hits"], i)
+            return F.struct((start + F.length(hit)).alias("at"), F.concat(acc["got"], F.array(F.struct(start.alias("start"), (start + F.length(hit)).alias("end"), hit.alias("raw")))).alias("got"))
 
-    def step(acc: Column, i: Column) -> Column:
-        start = acc["at"] + F.length(F.get(gaps, i))
-        end = start + F.length(F.get(hits, i))
-        return F.struct(end.alias("at"), F.concat(acc["got"], F.array(F.struct(start.alias("start"), end.alias("end"), F.get(hits, i).alias("raw")))).alias("got"))
+        steps = F.sequence(F.lit(0), F.size(found["hits"]) - 1)
+        return F.when(F.size(found["hits"]) > 0, F.aggregate(steps, zero, step, lambda a: a["got"])).otherwise(none)
 
-    return F.when(F.size(hits) > 0, F.aggregate(F.sequence(F.lit(0), F.size(hits) - 1), zero, step, lambda a: a["got"])).otherwise(none)
+    return let(both, of)
 
 
 def merge_spans(found: Column) -> Column:

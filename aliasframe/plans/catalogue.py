@@ -194,11 +194,11 @@ def detect_patterns(s, d):
 
 
 @query(r"""
-    SELECT doc_id, match, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)(?:^|\W)(Bank of Brineport|Sparkasse Ostervale|Tidewick Federal)', 1)) AS match FROM documents) GROUP BY ALL
+    SELECT doc_id, match, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)\b(?:statement\s+note|statement|dispute)\b')) AS match FROM documents) GROUP BY ALL
 """)
 def detect_denylist(s, d):
-    found = checks.detect(read_table(s, d, "documents"), "doc_id", "text", {"BANK": ["Bank of Brineport", "Sparkasse Ostervale", "Tidewick Federal"]})
-    return found.where(F.col("entity_type") == "BANK").groupBy("doc_id", "match").agg(F.count("*").alias("n"))
+    found = checks.detect(read_table(s, d, "documents"), "doc_id", "text", {"TERM": ["dispute", "statement", "statement note"]})
+    return found.where(F.col("entity_type") == "TERM").groupBy("doc_id", "match").agg(F.count("*").alias("n"))
 
 
 @query(r"""
@@ -271,10 +271,10 @@ def lint_text(s, d):
 
 
 @query("""
-    SELECT DISTINCT doc_id, institution AS seed FROM documents, institutions WHERE contains(lower(text), lower(institution))
+    SELECT DISTINCT doc_id, real_value AS seed FROM documents, alias_mapping WHERE contains(lower(text), lower(real_value))
 """)
 def seed_leak_scan(s, d):
-    return checks.seed_hits(read_table(s, d, "documents"), "doc_id", "text", read_table(s, d, "institutions").select(F.col("institution").alias("seed")))
+    return checks.seed_hits(read_table(s, d, "documents"), "doc_id", "text", read_table(s, d, "alias_mapping").select(F.col("real_value").alias("seed")))
 
 
 # ---- entity resolution -------------------------------------------------------------------------------------
@@ -292,9 +292,12 @@ def token_df(s, d):
     return resolve.token_df(_docs(s, d))
 
 
-@query(_DOCS_SQL + "SELECT token, df FROM generic")
+@query(
+    f"WITH ledger AS ({LEDGER_SQL}), docs AS (SELECT DISTINCT {_memo_sql('raw_payee')} AS tokens FROM ledger), df AS (SELECT token, count(*) AS df FROM (SELECT unnest(list_distinct(tokens)) AS token FROM docs) GROUP BY 1)"
+    "SELECT token, df FROM df WHERE df >= 8 AND df >= 0.10 * (SELECT count(*) FROM docs)"
+)
 def generic_tokens(s, d):
-    return resolve.generic_tokens(_docs(s, d))
+    return resolve.generic_tokens(resolve.documents(ledger(s, d), "raw_payee"))
 
 
 @query(_DOCS_SQL + "SELECT array_to_string(tokens, ' ') AS doc, token FROM (SELECT tokens, unnest(list_distinct(tokens)) AS token FROM docs) WHERE token NOT IN (SELECT token FROM generic)")
@@ -322,14 +325,19 @@ def candidate_pairs_shared(s, d):
     return resolve.shared_links(resolve.discriminative(_docs(s, d))).select(F.array_join("a", " ").alias("a"), F.array_join("b", " ").alias("b")).distinct()
 
 
+_INITIALS = f"SELECT variant FROM payee_variant UNION SELECT array_to_string(list_transform({_memo_sql('variant')}, lambda t: left(t, 1)), '') FROM payee_variant"
+
+
 @query(
-    _DOCS_SQL
+    _DOCS_SQL.replace("FROM payee_variant WHERE variant IS NOT NULL", f"FROM ({_INITIALS}) WHERE variant IS NOT NULL")
     + """, disc AS (SELECT tokens, token FROM (SELECT tokens, unnest(list_distinct(tokens)) AS token FROM docs) WHERE token NOT IN (SELECT token FROM generic))
     SELECT array_to_string(a.tokens, ' ') AS a, array_to_string(b.tokens, ' ') AS b FROM disc a JOIN docs b ON len(a.tokens) = 1 AND length(a.token) BETWEEN 2 AND 5 AND len(b.tokens) > 1
     AND a.token = array_to_string(list_transform(b.tokens, lambda t: left(t, 1)), '')"""
 )
 def candidate_pairs_acronym(s, d):
-    docs = _docs(s, d)
+    """Lists and the initials that spell them, over the recorded spellings and all their initials."""
+    variants = read_table(s, d, "payee_variant").select("variant")
+    docs = resolve.documents(variants.union(variants.select(text.acronym(text.memo_tokens(F.col("variant"))))), "variant")
     return resolve.initial_links(docs, resolve.discriminative(docs)).select(F.array_join("a", " ").alias("a"), F.array_join("b", " ").alias("b"))
 
 
@@ -377,13 +385,14 @@ def alias_issue_payee(s, d):
 
 
 @query("""
-    WITH top AS (SELECT max(CAST(regexp_extract(alias_token, '-([0-9]+)$', 1) AS BIGINT)) AS n FROM alias_mapping WHERE entity_type = 'ACCT'),
-    new AS (SELECT account_id, min(id) AS seen FROM raw_transactions WHERE coalesce(account_id, '') <> '' AND account_id NOT IN (SELECT real_value FROM alias_mapping WHERE entity_type = 'ACCT') GROUP BY 1)
-    SELECT 'ACCT' AS entity_type, account_id AS real_value, CAST(n + row_number() OVER (ORDER BY seen, account_id) AS BIGINT) AS n, 'ACCT-' || CAST(n + row_number() OVER (ORDER BY seen, account_id) AS BIGINT) AS alias_token FROM new, top
+    WITH top AS (SELECT max(CAST(regexp_extract(alias_token, '-([0-9]+)$', 1) AS BIGINT)) AS n FROM alias_mapping WHERE entity_type = 'PAYEE'),
+    new AS (SELECT raw_payee, min(id) AS seen FROM raw_transactions WHERE coalesce(raw_payee, '') <> '' AND raw_payee NOT IN (SELECT real_value FROM alias_mapping WHERE entity_type = 'PAYEE' AND real_value IS NOT NULL) GROUP BY 1)
+    SELECT 'PAYEE' AS entity_type, raw_payee AS real_value, CAST(n + row_number() OVER (ORDER BY seen, raw_payee) AS BIGINT) AS n, 'PAYEE-' || CAST(n + row_number() OVER (ORDER BY seen, raw_payee) AS BIGINT) AS alias_token FROM new, top
 """)
 def alias_issue_incremental(s, d):
+    """Numbers for the payees the dictionary doesn't hold yet, from its durable counter on."""
     raw, mapping, _ = _store(s, d)
-    return aliases.issue(_values(raw, "ACCT", "account_id"), mapping, aliases.counters(mapping))
+    return aliases.issue(_values(raw, "PAYEE", "raw_payee"), mapping, aliases.counters(mapping))
 
 
 @query(_HEADS_SQL + "SELECT token, head FROM heads")
