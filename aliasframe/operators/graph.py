@@ -32,15 +32,18 @@ def chain_heads(links: DataFrame, most_rounds: int = 40) -> DataFrame:
     """token, head: where each token's chain of redirects ends.
 
     ``links(token, merged_into)`` has one row per token; a null redirect ends a chain, as does a
-    target without a row. A token on a cycle gets its cycle's least token. Each round doubles the hops.
+    target without a row. A token on a cycle, or on the way to one, gets the cycle's least token. Each round
+    doubles the hops.
     """
-    at = checkpoint(links.select("token", F.coalesce("merged_into", "token").alias("head"), F.coalesce("merged_into", "token").alias("least")))
+    at = checkpoint(links.select("token", F.coalesce("merged_into", "token").alias("head"), F.least("token", F.coalesce("merged_into", "token")).alias("least"), F.col("merged_into").isNull().alias("ended")))
     for _ in range(most_rounds):
-        hop = at.select(F.col("token").alias("via"), F.col("head").alias("next"), F.col("least").alias("seen"))
+        hop = at.select(F.col("token").alias("via"), F.col("head").alias("next"), F.col("least").alias("seen"), F.col("ended").alias("stop"))
         step = at.join(hop, F.col("head") == F.col("via"), "left")
-        at2 = checkpoint(step.select("token", F.coalesce("next", "head").alias("head"), F.least("least", F.coalesce("seen", "least")).alias("least"), (F.coalesce("next", "head") != F.col("head")).alias("moved")))
-        if at2.where("moved").isEmpty():
-            return at2.select("token", "head")
-        at = at2.drop("moved")
-    ends = at.select(F.col("token").alias("via"), F.col("head").alias("next"))  # still moving: on a cycle, or before one
-    return at.join(ends, F.col("head") == F.col("via"), "left").select("token", F.when(F.col("next") == F.col("head"), F.col("head")).otherwise(F.col("least")).alias("head"))
+        ended = F.col("ended") | F.coalesce("stop", F.lit(True))
+        least = F.least("least", F.coalesce("seen", "least"))
+        at = checkpoint(step.select("token", F.coalesce("next", "head").alias("head"), least.alias("least"), ended.alias("ended"), ((ended != F.col("ended")) | (least != F.col("least"))).alias("moved")))
+        if at.where("moved").isEmpty():
+            break
+        at = at.drop("moved")
+    ring = at.select(F.col("token").alias("via"), F.col("least").alias("ring"))
+    return at.join(ring, F.col("head") == F.col("via"), "left").select("token", F.when(F.col("ended"), F.col("head")).otherwise(F.col("ring")).alias("head"))

@@ -52,7 +52,7 @@ def to_utc(rows: DataFrame, value: str, account: str, institution: str | None, i
 
     The declared zone is the history of a source; where none is declared, the history of the source
     (institution name, else account prefix, else account) is estimated from its own rows. Rows whose
-    source gives no reading either count as UTC. Extra columns are kept, also clashing ones. ``sources``
+    source gives no reading either count as UTC. Extra columns are kept; one named like an added column gives way to it. ``sources``
     holds the account and institution of all rows where that is a smaller table; the estimate is planned
     only if some source there lacks a declared zone.
     """
@@ -73,6 +73,6 @@ def to_utc(rows: DataFrame, value: str, account: str, institution: str | None, i
 def _converted(zoned: DataFrame, kept: list[str], prefix: str) -> DataFrame:
     done = with_instant(zoned, "__value", F.col("__zone"), prefix)
     added = [f"{prefix}{c}" for c in ("form", "instant", "shown_day", "utc_day", "needs_zone")]
-    taken = [c for c in dict.fromkeys(kept) if c not in added]
+    taken = [c for c in dict.fromkeys(kept) if c not in (*added, f"{prefix}zone")]
     return done.select(*[F.col("__row")[c].alias(c) for c in taken], F.coalesce(F.col("__zone"), F.lit("UTC")).alias(f"{prefix}zone"), *added)
 

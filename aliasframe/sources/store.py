@@ -44,12 +44,12 @@ class Store:
         self.key = Sealed(key or os.environ.get(KEY_ENV, ""))
         if not self.key.reveal():
             raise ValueError("a key is needed")
-        meta = self._read("_meta.json")
+        meta = self._read("store.json")
         mark = hmac.new(hashlib.sha256(self.key.reveal().encode()).digest(), b"aliasframe", "sha256").hexdigest()
         if meta is None:
             if not create:
                 raise FileNotFoundError("no store here")
-            self._write("_meta.json", json.dumps({"version": VERSION, "mark": mark}))
+            self._write("store.json", json.dumps({"version": VERSION, "mark": mark}))
         else:
             have = json.loads(meta)
             if have["version"] > VERSION:
