@@ -72,15 +72,21 @@ def verdict(findings: DataFrame) -> DataFrame:
 
 
 def seed_hits(rows: DataFrame, key: str, text: str, seeds: DataFrame) -> DataFrame:
-    """``key, seed`` of every seed (``seeds(seed)``) that stands as a word sequence in a text, in any case.
+    """``key, seed`` of every seed (``seeds(seed)``) that stands in a text, in any case, from a word's start on.
 
-    Texts and seeds meet in an equi-join on the seed's first word, so the seed list may grow without being broadcast;
-    the whole seed is then looked for. Seeds without a letter or digit find nothing.
+    Texts and seeds meet in an equi-join on the seed's longest word (its last word, which a text may go on with, counts
+    only if it is the only one), so the seed list may grow without being broadcast and a common first word costs nothing.
+    Only keys and words are shuffled for it; then the whole seed is looked for. Seeds without a letter or digit find nothing.
     """
-    first = lambda c: F.regexp_extract(F.lower(c), "([a-z0-9]+)", 1)
-    wanted = seeds.select("seed").where(first(F.col("seed")) != "").distinct().select("seed", first(F.col("seed")).alias("__w"))
-    words = rows.select(key, F.col(text).alias("__t"), F.explode(F.array_distinct(F.split(F.lower(F.col(text)), "[^a-z0-9]+"))).alias("__w")).where(F.col("__w") != "")
-    return words.join(wanted, "__w").where(F.contains(F.lower("__t"), F.lower("seed"))).select(key, "seed").distinct()
+    parts = F.filter(F.split(F.lower("seed"), "[^a-z0-9]+"), lambda w: w != "")
+    sure = F.when(F.size("parts") > 1, F.slice("parts", 1, F.size("parts") - 1)).otherwise(F.col("parts"))
+    longest = F.element_at(F.array_sort(F.transform(sure, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1)["w"]
+    wanted = seeds.select("seed").distinct().withColumn("parts", parts).where(F.size("parts") > 0).select("seed", longest.alias("w"))
+    said = rows.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.explode(F.array_distinct(F.split(F.lower(text), "[^a-z0-9]+"))).alias("w"))
+    met = said.join(wanted, "w").groupBy("k").agg(F.collect_set("seed").alias("maybe"))
+    lower = F.lower(F.col("t"))
+    both = rows.select(F.col(key).alias("k"), F.col(text).alias("t")).join(met, "k")
+    return both.select(F.col("k").alias(key), F.explode(F.filter("maybe", lambda x: F.contains(lower, F.lower(x)))).alias("seed")).distinct()
 
 
 def refuse(findings: DataFrame, allow: bool = False) -> None:
