@@ -31,11 +31,10 @@ def estimate_zones(rows: DataFrame, source: str, value: str, ingested: str, zone
     """(source, zone): for each source the offset history that violates the order of events least.
 
     Every zone of ``zones(zone)`` is a candidate history of offsets, daylight saving included. Under a
-    candidate a clock reading is a violation if its instant lies after the row's ingestion, or after
-    the earliest ingestion of all later readings of the source's same written day. Violations are counted
+    candidate a clock reading is a violation if its instant lies after the row's ingestion. Violations are counted
     per source and candidate before the shuffle; ties go to the candidate whose readings come
-    closest to their ingestion, then to the alphabetically first. Sources without a clock reading
-    that states no zone, and rows ingested over ``most_lag_days`` later, say nothing.
+    closest to their ingestion, then to the alphabetically first. Only readings that state no zone count; those
+    ingested over ``most_lag_days`` later say nothing about closeness. Sources without such a reading have no row.
     """
     read = rows.select(F.col(source).alias("__source"), F.col(value).alias("__value"), F.col(ingested).alias("__ingested"))
     tried = read.where(F.col("__source").isNotNull() & F.col("__ingested").isNotNull()).join(broadcast_checked(zones.select(F.col("zone").alias("__zone")).distinct(), 1000))
