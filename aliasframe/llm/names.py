@@ -333,11 +333,11 @@ def _form_batches(batches):
 def link_group(form: str, members: Iterable[str]) -> Iterator[tuple[str, str]]:
     """Links among the cores that share one rewriting.
 
-    Members stream by; each is checked against the representatives found so far, linked to the first it
-    agrees with, and otherwise becomes one. Initials and bare surnames stand back until the full
+    Members stream by; each is compared with members of every cluster found so far, whether these came first or not,
+    and joins all clusters in which one agrees. Initials and bare surnames stand back until the full
     names are known: they are linked only if a single person fits.
     """
-    heads: list[tuple[str, Core]] = []
+    clusters: list[list[tuple[str, Core]]] = []
     vague: list[tuple[str, Core]] = []
     size = 0
     waiting: list[tuple[str, str]] = []
@@ -350,21 +350,20 @@ def link_group(form: str, members: Iterable[str]) -> Iterator[tuple[str, str]]:
         if core.person and not core.given:
             vague.append((key, core))
             continue
-        head = next((k for k, c in heads if same_name(c, core)), None)
-        if head is None:
-            heads.append((key, core))
-        elif form[0] not in "IJS":
-            waiting.append((head, key))
+        fits = [c for c in clusters if any(same_name(x, core) for _, x in c)]
+        if form[0] not in "IJS":
+            waiting += [(c[0][0], key) for c in fits]
+        clusters = [c for c in clusters if c not in fits] + [[x for c in fits for x in c] + [(key, core)]]
     yield from waiting
     if form[0] not in "IJS":
         return
-    lead = heads[0] if len(heads) == 1 else None
+    lead = clusters[0] if len(clusters) == 1 else None
     by_initial: dict[str, tuple[str, Core]] = {}
     for key, core in vague:
         if lead is not None:
-            if same_name(lead[1], core):
-                yield lead[0], key
-        elif not heads:
+            if any(same_name(x, core) for _, x in lead):
+                yield lead[0][0], key
+        elif not clusters:
             first = by_initial.setdefault(core.initial, (key, core))
             if first[0] != key and same_name(first[1], core):
                 yield first[0], key

@@ -58,6 +58,12 @@ def test_people_with_one_surname_stay_apart(spark):
     assert got["O. KARVONE"] == got["KARVONE, OSWALD"] and got["BALORTO DRENSIL BAKERY"] != got["BALORTO KUVENDA BAKERY"]
 
 
+@pytest.mark.parametrize("surnames", [("KELKEALCASSU", "KELKELCASSU", "KELKELCCASSU"), ("QUINHALKELITA", "QUINHALKELTA", "QUUINHALKELTA")])
+def test_a_spelling_between_two_others_links_both(spark, surnames):
+    got = names.link_names(spark.createDataFrame([(f"PATRICIA {s}",) for s in surnames], "name string")).collect()
+    assert len({r["entity"] for r in got}) == 1
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text("ABC", max_size=6), st.text("ABC", max_size=6))
 def test_one_error_against_brute_force(a, b):
