@@ -17,10 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators.graph import components
 from ..operators.timestamps import to_utc
 from ..session import checkpoint
-from .names import Core, links, read_name, same_name
+from .names import Core, read_name, same_name
+from .names import entities as core_entities
 from .pii import without_contacts
 
 DAYS, BUCKETS = 3, 64
@@ -125,8 +125,8 @@ def entities(spellings: DataFrame) -> DataFrame:
         return got
     group = F.xxhash64(*KEY).cast("string")
     cored = checkpoint(many.select(*KEY, "payee").mapInArrow(_core_of_payee, "account_id string, amount_cents bigint, session int, payee string, core string").withColumn("grp", group))
-    found = components(links(cored.where(F.col("core").isNotNull()).select("core", "grp").distinct(), grouped=True))
-    node = F.concat_ws("\x1f", "grp", "core")
+    found = core_entities(cored.where(F.col("core").isNotNull()).select("core", "grp"))
+    node = F.when(F.col("core").isNotNull(), F.concat_ws("\x1f", "grp", "core"))
     done = cored.join(found, node == F.col("node"), "left").select(*KEY, "payee", F.coalesce("label", node, F.col("payee")).alias("entity"))
     return got.where(F.col("entity").isNotNull()).unionByName(done)
 

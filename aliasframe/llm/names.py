@@ -2,10 +2,11 @@
 
 Every name is read into a core: channel marks, store numbers, places and legal forms go, nicknames and
 initials become sets of full names. From the core come all canonical rewritings - word orders run together,
-consonant skeletons, one letter left out, one word kept beside the other's first letters, surname with
-full name, initial or neither - each with a cost. The rewritings are exploded and joined on equality; a
-rewriting that few cores share is strong evidence, one that many share is none. Candidates are
-checked exactly, then linked cores are gathered into connected components.
+consonant skeletons, one letter left out, first word beside the start of the second, surname beside
+given name. Any two cores that ``same_name`` accepts share a rewriting, so the rewritings are exploded and joined on
+equality, and whoever shares one is compared exactly, however many do: a common rewriting costs time but
+drops nothing. Linked cores are gathered into connected components. Initials and bare surnames come last and
+join a person only if a single one fits.
 """
 
 from __future__ import annotations
@@ -23,12 +24,6 @@ from pyspark.sql import functions as F
 from ..operators.graph import components
 from ..session import checkpoint
 
-#: A rewriting is evidence while at most COMMON / 2**cost distinct cores share it. On 79,000 recorded spellings the most
-#: common one is shared by nine.
-COMMON = 128
-#: Cost of each rule of rewriting, in halvings of the evidence; exact rewritings (0) count however many share them.
-COST = {"O": 0, "N": 0, "K": 1, "D": 1, "M": 1, "I": 1, "H": 2, "L": 2, "J": 2, "S": 2}
-
 # ---- fixed values: words of names, channels and places ---------------------------------------------
 
 TITLES = frozenset("MR MRS MS MISS MX DR PROF SIR DAME REV HERR FRAU SR SRA".split())
@@ -142,7 +137,13 @@ class Core:
             return f"P|{self.surname}|{','.join(self.given)}|{self.initial}"
         return "O|" + ";".join(map(" ".join, self.readings))
 
+    @property
+    def vague(self) -> bool:
+        """A person without given name: an initial or a bare surname."""
+        return self.person and not self.given
+
     @staticmethod
+    @lru_cache(50_000)
     def of(key: str) -> Core:
         if key[0] == "P":
             _, surname, given, initial = key.split("|")
@@ -230,39 +231,44 @@ def _without_trade(words: list[str]) -> list[str]:
 
 
 def rewritings(core: Core) -> set[str]:
-    """All canonical forms of a core, each after the letter of its rule (see ``COST``)."""
+    """Canonical forms of a core, each after the letter of its rule; cores that agree share at least one.
+
+    N, F: surname and given name, F with up to a letter left out of each. O, D, L: all words run together, whole,
+    with a letter left out, and as consonants with a letter left out. W: first word and the start of the second
+    of so many words. Initials and bare surnames have none; see :func:`entities`.
+    """
     out: set[str] = set()
     if core.person:
         s = core.surname
-        thin = set(left_out(s))
-        firsts = {g[0] for g in core.given} | set(core.initial)
+        thin = set(left_out(s)) if len(s) > 4 else {s}
         for g in core.given:
-            out.add(f"N{s}|{g}")
-            out.update(f"M{x}|{g}" for x in thin)
-        for i in firsts:
-            out.add(f"I{s}|{i}")
-            out.update(f"J{x}|{i}" for x in thin)
-        out.add(f"S{s}")
+            out.update(f"N{x}|{g}" for x in thin) if len(g) < 4 else out.update(f"F{x}|{y}" for x in thin for y in left_out(g))
         return out
     for words in core.readings:
         run = "".join(words)
-        if len(run) < 5:
-            out.add(f"O{run}")
-            continue
         bones = skeleton(run)
         out.add(f"O{run}")
-        out.update(f"D{x}" for x in left_out(run))
-        if len(bones) >= 5:
-            out.add(f"K{bones}")
+        if len(run) > 4:
+            out.update(f"D{x}" for x in left_out(run))
+        if len(bones) > 5:
             out.update(f"L{x}" for x in left_out(bones))
-        if len(words) == 2:
-            a, b = words
-            if len(a) > 3 and len(b) > 2:
-                out.update(f"H{x}>{b[:2]}" for x in left_out(a))
-                out.update(f"H{a[:2]}<{x}" for x in left_out(b))
+        if len(words) > 1:
+            n, heads = len(words), set(left_out(words[0])) | _bones_left_out(words[0])
+            starts = set(_starts(words[1])) | {f"~{x}" for x in _starts(skeleton(words[1])) if len(skeleton(words[1])) > 2}
+            out.update(f"W{n}{h}|{x}" for h in heads for x in starts)
     return out
 
 
+def _bones_left_out(word: str) -> set[str]:
+    bones = skeleton(word)
+    return {f"~{x}" for x in left_out(bones)} if len(bones) > 2 else set()
+
+
+def _starts(word: str) -> set[str]:
+    """Two of the first three letters; words one error apart, or one beginning the other, share such a pair. Short words whole."""
+    return {word[:2], word[0] + word[2], word[1:3]} if len(word) > 2 else {word}
+
+
 def _word_close(a: str, b: str, cut: bool) -> bool:
     """Same word: one typing error, thinned out, or (at the end of a name) cut short."""
     if within_one(a, b):
@@ -281,11 +287,15 @@ def _same_words(a: tuple[str, ...], b: tuple[str, ...]) -> bool:
     if len(a) == len(b) == 2:
         return _word_close(a[0], b[0], False) and _word_close(a[1], b[1], True)
     if len(a) == len(b):
-        return len(a) > 2 and all(_word_close(x, y, i == len(a) - 1) for i, (x, y) in enumerate(zip(a, b, strict=True))) or len(a) == 1 and len(run_a) > 5 and within_one(run_a, run_b)
+        return len(a) > 2 and all(_word_close(x, y, i == len(a) - 1) for i, (x, y) in enumerate(zip(a, b, strict=True))) or len(a) == 1 and max(len(run_a), len(run_b)) > 5 and within_one(run_a, run_b)
     if min(len(run_a), len(run_b)) < 8 or min(len(a), len(b)) != 1:
         return False
     bones_a, bones_b = skeleton(run_a), skeleton(run_b)
-    return within_one(run_a, run_b) or (len(bones_a) > 6 and within_one(bones_a, bones_b) and abs(len(run_a) - len(run_b)) < 10)
+    return within_one(run_a, run_b) or (max(len(bones_a), len(bones_b)) > 6 and within_one(bones_a, bones_b) and abs(len(run_a) - len(run_b)) < 10)
+
+
+def near_surnames(a: str, b: str) -> bool:
+    return a == b or min(len(a), len(b)) > 4 and within_one(a, b)
 
 
 def same_name(a: Core, b: Core) -> bool:
@@ -294,10 +304,10 @@ def same_name(a: Core, b: Core) -> bool:
         return False
     if not a.person:
         return any(_same_words(x, y) for x in a.readings for y in b.readings)
-    if not (a.surname == b.surname or min(len(a.surname), len(b.surname)) > 4 and within_one(a.surname, b.surname)):
+    if not near_surnames(a.surname, b.surname):
         return False
     if a.given and b.given:
-        return bool(set(a.given) & set(b.given)) or any(within_one(x, y) and len(x) > 4 for x in a.given for y in b.given)
+        return bool(set(a.given) & set(b.given)) or any(within_one(x, y) and max(len(x), len(y)) > 4 for x in a.given for y in b.given)
     firsts_a, firsts_b = ({g[0] for g in c.given} | set(c.initial) for c in (a, b))
     return not firsts_a or not firsts_b or bool(firsts_a & firsts_b)
 
@@ -330,43 +340,22 @@ def _form_batches(batches):
             yield pa.RecordBatch.from_arrays([pa.array(forms[i : i + 50_000], pa.string()), pa.array(owners[i : i + 50_000], pa.string())], names=["form", "core"])
 
 
-def link_group(form: str, members: Iterable[str]) -> Iterator[tuple[str, str]]:
-    """Links among the cores that share one rewriting.
+def link_group(members: Iterable[str]) -> Iterator[tuple[str, str]]:
+    """Links among cores, so that all that agree, in one step or several, are connected.
 
     Members stream by; each is compared with members of every cluster found so far, whether these came first or not,
-    and joins all clusters in which one agrees. Initials and bare surnames stand back until the full
-    names are known: they are linked only if a single person fits.
+    and joins all clusters in which one agrees.
     """
     clusters: list[list[tuple[str, Core]]] = []
-    vague: list[tuple[str, Core]] = []
-    size = 0
-    waiting: list[tuple[str, str]] = []
-    exact = COST[form[0]] == 0
     for key in members:
         core = Core.of(key)
-        size += 1
-        if not exact and size > COMMON >> COST[form[0]]:
-            return
-        if core.person and not core.given:
-            vague.append((key, core))
-            continue
         fits = [c for c in clusters if any(same_name(x, core) for _, x in c)]
-        if form[0] not in "IJS":
-            waiting += [(c[0][0], key) for c in fits]
-        clusters = [c for c in clusters if c not in fits] + [[x for c in fits for x in c] + [(key, core)]]
-    yield from waiting
-    if form[0] not in "IJS":
-        return
-    lead = clusters[0] if len(clusters) == 1 else None
-    by_initial: dict[str, tuple[str, Core]] = {}
-    for key, core in vague:
-        if lead is not None:
-            if any(same_name(x, core) for _, x in lead):
-                yield lead[0][0], key
-        elif not clusters:
-            first = by_initial.setdefault(core.initial, (key, core))
-            if first[0] != key and same_name(first[1], core):
-                yield first[0], key
+        for c in fits:
+            yield c[0][0], key
+        if len(fits) == 1:
+            fits[0].append((key, core))
+        else:
+            clusters = [c for c in clusters if not any(c is f for f in fits)] + [[x for c in fits for x in c] + [(key, core)]]
 
 
 def _link_batches(batches):
@@ -375,7 +364,7 @@ def _link_batches(batches):
 
     def of_group(form, members):
         grp = form.partition("\x1f")[2]
-        return [(a, b, grp) for a, b in link_group(form, members)] if len(members) > 1 else []
+        return [(a, b, grp) for a, b in link_group(members)] if len(members) > 1 else []
 
     current, members = None, []
     for batch in batches:
@@ -385,25 +374,121 @@ def _link_batches(batches):
                 if current is not None:
                     found += of_group(current, members)
                 current, members = form, []
-            if len(members) <= COMMON or COST[form[0]] == 0:
-                members.append(core)
+            members.append(core)
         if found:
             yield rows(found)
     if current is not None and (found := of_group(current, members)):
         yield rows(found)
 
 
-def links(core_keys: DataFrame, grouped: bool = False) -> DataFrame:
-    """Links a, b between the distinct cores in ``core_keys(core)``, through equal rewritings.
+def _node(core: str = "core") -> F.Column:
+    return F.when(F.col("grp") == "", F.col(core)).otherwise(F.concat_ws("\x1f", "grp", core))
 
-    ``grouped``: a column ``grp`` keeps cores of different groups apart; a and b are then ``grp``, a unit separator and the core.
-    """
-    keys = core_keys.select("core", F.col("grp") if grouped else F.lit("").alias("grp"))
-    forms = keys.mapInArrow(_form_batches, "form string, core string")
+
+def links(keys: DataFrame) -> DataFrame:
+    """Links a, b between the nodes of the distinct ``keys(core, grp)``, through equal rewritings; initials and bare surnames have none."""
+    forms = keys.select("core", "grp").mapInArrow(_form_batches, "form string, core string")
     found = forms.repartition(F.col("form")).sortWithinPartitions("form", "core").mapInArrow(_link_batches, "a string, b string, grp string")
-    if grouped:
-        found = found.select(*[F.concat_ws("\x1f", "grp", c).alias(c) for c in ("a", "b")])
-    return found.select("a", "b").distinct()
+    return found.select(_node("a").alias("a"), _node("b").alias("b")).distinct()
+
+
+def _near_batches(batches):
+    for batch in batches:
+        pairs = zip(batch.column("mine").to_pylist(), batch.column("theirs").to_pylist(), strict=True)
+        yield batch.filter(pa.array([near_surnames(a, b) for a, b in pairs], pa.bool_()))
+
+
+def _thin(rows: DataFrame, surname: str) -> DataFrame:
+    """The rows once for each spelling ``x`` of the surname with up to a letter left out."""
+    s = F.col(surname)
+    cut = F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(F.left(s, i - 1), F.substring(s, i + 1, F.length(s))))
+    return rows.withColumn("x", F.explode(F.when(F.length(s) > 4, F.array_distinct(F.concat(F.array(s), cut))).otherwise(F.array(s))))
+
+
+def _settle(vague: DataFrame, people: DataFrame) -> DataFrame:
+    """The rows of ``vague(grp, node, surname, initial)`` with ``label``.
+
+    A core takes the label of the person it fits, if it is one. The others are linked with those of like surname and the same
+    initial, and their component takes the label of a person if all its members together fit one, else its own.
+    """
+    mine = checkpoint(_thin(vague.withColumnRenamed("surname", "mine"), "mine"))
+    theirs = _thin(people.withColumnRenamed("surname", "theirs"), "theirs")
+    met = mine.join(theirs, ["grp", "x"]).where((F.col("initial") == "") | (F.col("initial") == F.col("first"))).select("node", "mine", "theirs", "lo", "hi")
+    fits = met.mapInArrow(_near_batches, met.schema).groupBy("node").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    known = checkpoint(vague.join(fits, "node", "left"))
+    one = F.coalesce(F.col("lo") == F.col("hi"), F.lit(False))
+    sole, rest = known.where(one), known.where(~one)
+    if rest.isEmpty():
+        return sole.select("grp", "node", "surname", "initial", F.col("lo").alias("label"))
+    a = mine.join(rest.select("node"), "node", "left_semi")
+    b = mine.join(known.select("node", "lo", one.alias("one")), "node").select("grp", "x", "initial", F.col("node").alias("b"), F.col("mine").alias("theirs"), "lo", "one")
+    pairs = a.join(b, ["grp", "x", "initial"]).where(F.col("node") != F.col("b")).select("node", "b", "mine", "theirs", "lo", "one")
+    pairs = checkpoint(pairs.mapInArrow(_near_batches, pairs.schema))
+    comp = components(pairs.where(~F.col("one")).select(F.col("node").alias("a"), "b")).select("node", F.col("label").alias("own"))
+    owned = rest.join(comp, "node", "left").withColumn("own", F.coalesce("own", "node"))
+    beside = pairs.where("one").groupBy("node").agg(F.min("lo").alias("near_lo"), F.max("lo").alias("near_hi"))
+    bounds = owned.join(beside, "node", "left").groupBy("own").agg(F.min(F.least("lo", "near_lo")).alias("all_lo"), F.max(F.greatest("hi", "near_hi")).alias("all_hi"))
+    done = owned.join(bounds, "own").withColumn("label", F.when(F.col("all_lo") == F.col("all_hi"), F.col("all_lo")).otherwise(F.col("own")))
+    return sole.withColumn("label", F.col("lo")).select("grp", "node", "surname", "initial", "label").unionByName(done.select("grp", "node", "surname", "initial", "label"))
+
+
+def entities(core_keys: DataFrame) -> DataFrame:
+    """node, label for the distinct cores in ``core_keys(core)``: equal labels mean the same.
+
+    With a column ``grp``, cores of different groups stay apart and a node is ``grp``, a unit separator and the core. :func:`group_entities`
+    gives the same for a few cores in memory.
+    """
+    grp = F.col("grp") if "grp" in core_keys.columns else F.lit("")
+    keys = checkpoint(core_keys.select("core", grp.alias("grp")).distinct().withColumn("node", _node()))
+    vague = F.col("core").rlike(r"^P\|[^|]*\|\|")
+    sure = components(links(keys.where(~vague)))
+    found = checkpoint(keys.where(~vague).join(sure, "node", "left").select("core", "grp", "node", F.coalesce("label", "node").alias("label")))
+    part = lambda i: F.split("core", r"\|")[i]
+    unsure = checkpoint(keys.where(vague).select("grp", "node", part(1).alias("surname"), part(3).alias("initial")))
+    if unsure.isEmpty():
+        return found.select("node", "label")
+    bounds = (F.min("label").alias("lo"), F.max("label").alias("hi"))
+    firsts = found.where(F.col("core").startswith("P|")).select("grp", part(1).alias("surname"), F.explode(F.split(part(2), ",")).alias("given"), "label")
+    people = checkpoint(firsts.groupBy("grp", "surname", F.left("given", F.lit(1)).alias("first")).agg(*bounds))
+    initials = checkpoint(_settle(unsure.where("initial != ''"), people))
+    people = people.unionByName(initials.groupBy("grp", "surname", F.col("initial").alias("first")).agg(*bounds))
+    bare = _settle(unsure.where("initial = ''"), people)
+    return found.select("node", "label").unionByName(initials.select("node", "label")).unionByName(bare.select("node", "label"))
+
+
+def group_entities(keys: Iterable[str]) -> dict[str, str]:
+    """Label of each of a few distinct cores; the rule of :func:`entities`, every pair compared."""
+    cores_of = {k: Core.of(k) for k in sorted(keys)}
+    label = _least(cores_of, link_group(k for k, c in cores_of.items() if not c.vague))
+    people = [k for k, c in cores_of.items() if c.person and not c.vague]
+    for bare in (False, True):
+        tier = [k for k, c in cores_of.items() if c.vague and (not c.initial) == bare]
+        fits = {k: {label[p] for p in people if same_name(cores_of[p], cores_of[k])} for k in tier}
+        rest = [k for k in tier if len(fits[k]) != 1]
+        like = {k: [j for j in tier if j != k and cores_of[j].initial == cores_of[k].initial and near_surnames(cores_of[j].surname, cores_of[k].surname)] for k in rest}
+        own = _least(rest, ((k, j) for k in rest for j in like[k] if len(fits[j]) != 1))
+        whole: dict[str, set[str]] = {}
+        for k in rest:
+            whole.setdefault(own[k], set()).update(fits[k], *(fits[j] for j in like[k] if len(fits[j]) == 1))
+        label |= {k: min(fits[k]) for k in tier if len(fits[k]) == 1}
+        label |= {k: min(whole[own[k]]) if len(whole[own[k]]) == 1 else own[k] for k in rest}
+        people += tier
+    return label
+
+
+def _least(nodes: Iterable[str], pairs: Iterable[tuple[str, str]]) -> dict[str, str]:
+    """The least node of each one's component."""
+    root = {k: k for k in nodes}
+
+    def top(k: str) -> str:
+        while root[k] != k:
+            root[k] = k = root[root[k]]
+        return k
+
+    for a, b in pairs:
+        x, y = sorted((top(a), top(b)))
+        root[y] = x
+    return {k: top(k) for k in root}
 
 
 def link_names(names: DataFrame) -> DataFrame:
@@ -414,5 +499,5 @@ def link_names(names: DataFrame) -> DataFrame:
     """
     read = checkpoint(cores(names))
     keys = read.where(F.col("core").isNotNull()).select("core").distinct()
-    found = components(links(keys))
+    found = entities(keys)
     return read.join(found, F.col("core") == F.col("node"), "left").select("name", "core", F.coalesce("label", "core", F.concat(F.lit("?|"), F.col("name"))).alias("entity"))

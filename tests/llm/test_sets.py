@@ -64,6 +64,45 @@ def test_a_spelling_between_two_others_links_both(spark, surnames):
     assert len({r["entity"] for r in got}) == 1
 
 
+def _noisy(seed, n):
+    """Names of few words, so that many agree: misspelt, thinned, cut, with initials and bare surnames."""
+    r, out = random.Random(seed), set()
+    heads, tails, people = [_word(r, k) for k in (2, 2, 3, 4)], [_word(r, k) for k in (2, 3, 3, 4)], [_word(r, k) for k in (2, 3, 3)]
+    change = lambda w: r.choice((w, w, names.skeleton(w), w[0] + names.skeleton(w[1:]), w[: r.randint(3, len(w))], _typo(r, w), _typo(r, _typo(r, w))))
+    while len(out) < n:
+        words = [change(r.choice(heads)), change(r.choice(tails)), *([change(r.choice(tails))] if r.random() < 0.2 else [])]
+        s = r.choice((people[0], _typo(r, r.choice(people)), r.choice(people)))
+        g = r.choice(("PETER", "PETRE", "PAULA", "PAUL", "XAVIER", "XAVER"))
+        out.add(r.choice((" ".join(words), "".join(words), f"{words[0]} {words[1]} MARKET", f"ZELLE TO {g} {s}", f"{g} {s}", f"{g[0]} {s}", f"{r.choice('PXAQ')} {s}", f"MR {s}")))
+    return sorted(out)
+
+
+def test_names_that_agree_share_a_rewriting():
+    cores = {c.key(): c for n in _noisy(5, 700) if (c := names.read_name(n)) is not None and not c.vague}
+    forms, agreeing = {k: names.rewritings(c) for k, c in cores.items()}, 0
+    for a, x in cores.items():
+        for b, y in cores.items():
+            assert names.same_name(x, y) == names.same_name(y, x)
+            if a < b and names.same_name(x, y):
+                agreeing += 1
+                assert forms[a] & forms[b], (a, b)
+    assert agreeing > 500
+
+
+def test_entities_are_those_of_all_pairs(spark):
+    noisy = _noisy(8, 160)
+    got = names.link_names(spark.createDataFrame([(n,) for n in noisy], "name string")).collect()
+    want = names.group_entities({r["core"] for r in got})
+    assert {r["core"]: r["entity"] for r in got} == want and 5 < len(set(want.values())) < 150
+
+
+def test_a_rewriting_shared_by_many_still_links(spark):
+    word = "BALORTODRENSIL"
+    rows = [f"{word[:i]}{c}{word[i:]} KORVANMISU" for i in range(2, 14) for c in "BCDFGHKLMNPR"]
+    got = names.link_names(spark.createDataFrame([(x,) for x in rows], "name string")).collect()
+    assert len(got) > 128 and len({r["entity"] for r in got}) == 1
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text("ABC", max_size=6), st.text("ABC", max_size=6))
 def test_one_error_against_brute_force(a, b):
