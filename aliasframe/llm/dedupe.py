@@ -19,12 +19,12 @@ from pyspark.sql.window import Window
 
 from ..operators.timestamps import to_utc
 from ..session import checkpoint
-from .names import Core, read_name, same_name
+from .names import Core, group_entities, read_name
 from .names import entities as core_entities
 from .pii import without_contacts
 
 DAYS, BUCKETS = 3, 64
-#: Up to so many spellings of one session are compared pairwise in place; more go through equal rewritings.
+#: Up to so many spellings of one session are compared pairwise in place; more go through equal rewritings, by the same rule.
 FEW = 24
 KEY = ["account_id", "amount_cents", "session"]
 
@@ -59,25 +59,13 @@ def _label(names: list[str]) -> list[str]:
     """The least spelling of each name's entity among a few names of one session."""
     if len(names) == 1:
         return names
-    cores = [read_name(without_contacts(n)) for n in names]
-    root = list(range(len(names)))
-
-    def top(i: int) -> int:
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for full in (True, False):  # initials and bare surnames come after the full names
-        for i, a in enumerate(cores):
-            for j in range(i):
-                b = cores[j]
-                if a is None or b is None or top(i) == top(j):
-                    continue
-                sure = not (a.person and not a.given) and not (b.person and not b.given)
-                if sure == full and same_name(a, b):
-                    x, y = sorted((top(i), top(j)))
-                    root[y] = x
-    return [names[top(i)] for i in range(len(names))]
+    cores = [None if (c := read_name(without_contacts(n))) is None else c.key() for n in names]
+    label = group_entities({k for k in cores if k is not None})
+    least: dict[str, str] = {}
+    for n, k in zip(names, cores, strict=True):
+        if k is not None:
+            least[label[k]] = min(n, least.get(label[k], n))
+    return [n if k is None else least[label[k]] for n, k in zip(names, cores, strict=True)]
 
 
 _ENTITY = pa.schema([("account_id", pa.string()), ("amount_cents", pa.int64()), ("session", pa.int32()), ("payee", pa.string()), ("entity", pa.string())])

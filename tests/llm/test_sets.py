@@ -149,6 +149,21 @@ def test_repeats_against_a_plain_fold(spark, monkeypatch, few):
     assert dedupe.repeats(spark.createDataFrame([], ROWS)).count() == 0
 
 
+def test_entities_of_a_session_do_not_depend_on_its_size(spark, monkeypatch):
+    noisy = [*_noisy(9, 120), "12 #34", "56 #7", "LGRZLR GOF", "LUGARZELOR GOFAVAN"]
+    df = spark.createDataFrame([("A", 5, day, p) for day in (1, 2) for p in (noisy if day == 1 else noisy[::2])], "account_id string, amount_cents long, session int, payee string")
+
+    def parts(few):
+        monkeypatch.setattr(dedupe, "FEW", few)
+        out: dict = {}
+        for r in dedupe.entities(df).collect():
+            out.setdefault((r["session"], r["entity"]), set()).add(r["payee"])
+        return sorted((k[0], sorted(v)) for k, v in out.items())
+
+    small = parts(1000)
+    assert small == parts(1) and any({"LGRZLR GOF", "LUGARZELOR GOFAVAN"} <= set(v) for _, v in small)
+
+
 def test_history_admits_batch_by_batch(spark, tmp_path):
     rows = _rows(7, 120, 0.3)
     history, got = dedupe.History(spark, str(tmp_path / "h"), buckets=4), {}
