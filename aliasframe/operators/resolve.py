@@ -21,6 +21,8 @@ from .graph import components
 # ---- fixed values: thresholds of the evidence ---------------------------------------------------------
 THRESHOLD, PREFIX, SIMILAR = 0.80, 5, 0.86
 GENERIC_DOCS, GENERIC_SHARE = 8, 0.10
+#: Words up to so many letters are compared by the letters left out; it changes the time only, not the pairs.
+SHORT = 14
 ANCHORS, DEGRADED, DEGRADED_CAP = 8, 0.90, 15
 
 
@@ -69,21 +71,55 @@ def initial_links(docs: DataFrame, disc: DataFrame) -> DataFrame:
     return single.join(multi, "key").select("a", "b")
 
 
+def _left_out(word: str) -> set[str]:
+    """The word with up to as many letters left out as a pair with the ratio can have on its longer side."""
+    out = {word}
+    layer = out
+    for _ in range(len(word) * 14 // 57):
+        layer = {w[:i] + w[i + 1 :] for w in layer for i in range(len(w))}
+        out = out | layer
+    return out
+
+
+def _pieces(length: int) -> list[tuple[int, int]]:
+    """Bounds of the pieces of a word: one more than the letters that it and a longer word with the ratio can differ in."""
+    n = length * 14 // 43 + 1
+    return [(length * i // n, length * (i + 1) // n) for i in range(n)]
+
+
+def _key_batches(batches):
+    """token, key, probe: words up to SHORT letters meet on what is left of both, longer ones on a piece of the shorter."""
+    for batch in batches:
+        tokens, keys, probes = [], [], []
+
+        def put(token, found, probe):
+            tokens.extend([token] * len(found))
+            keys.extend(found)
+            probes.extend([probe] * len(found))
+
+        for t in batch.column("token").to_pylist():
+            n = len(t)
+            if n <= SHORT:
+                put(t, [f"-{k}" for k in _left_out(t)], None)
+            if n * 57 >= (SHORT + 1) * 43:
+                put(t, [f"{n}.{i}.{t[x:y]}" for i, (x, y) in enumerate(_pieces(n))], False)
+            if n > SHORT:
+                found = set()
+                for m in range(-(-n * 43 // 57), n + 1):
+                    most = (m + n) * 14 // 100
+                    for i, (x, y) in enumerate(_pieces(m)):
+                        found.update(f"{m}.{i}.{t[j : j + y - x]}" for j in range(max(0, x - most), min(n - (y - x), x + most) + 1))
+                put(t, sorted(found), True)
+            if len(tokens) > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.string()), pa.array(keys, pa.string()), pa.array(probes, pa.bool_())], names=["token", "key", "probe"])
+                tokens, keys, probes = [], [], []
+        yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.string()), pa.array(keys, pa.string()), pa.array(probes, pa.bool_())], names=["token", "key", "probe"])
+
+
 def _ratio_batches(batches):
-    current, heads = None, []
     for batch in batches:
-        left, right = [], []
-        for key, token in zip(batch.column("key").to_pylist(), batch.column("token").to_pylist(), strict=True):
-            if key != current:
-                current, heads = key, []
-            near = next((h for h in heads if similarity(h, token) >= SIMILAR or similarity(token, h) >= SIMILAR), None)
-            if near is None:
-                heads.append(token)
-            else:
-                left.append(near)
-                right.append(token)
-        if left:
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.string()), pa.array(right, pa.string())], names=["short", "long"])
+        pairs = zip(batch.column("short").to_pylist(), batch.column("long").to_pylist(), strict=True)
+        yield batch.filter(pa.array([SequenceMatcher(None, a, b).quick_ratio() >= SIMILAR and (similarity(a, b) >= SIMILAR or similarity(b, a) >= SIMILAR) for a, b in pairs], pa.bool_()))
 
 
 def similarity(a: str, b: str) -> float:
@@ -91,14 +127,19 @@ def similarity(a: str, b: str) -> float:
 
 
 def near_links(vocabulary: DataFrame) -> DataFrame:
-    """Pairs of identifying tokens with a similarity of 0.86 or more, found through a shared spelling with a letter left out.
+    """short, long: all pairs of identifying tokens with a similarity of 0.86 or more.
 
-    A ratio of 0.86 leaves one changed letter in words of up to 14 letters; each word meets, in an equi-join,
-    the words that agree once a letter is left out on either side.
+    The letters that such a pair has in common are what is left of both when the others are left out: at most 14 in 57 of the longer word.
+    Words up to ``SHORT`` letters meet, in an equi-join, on these rests. A longer word would have too many; it meets
+    the shorter one on one of its pieces, of which one at least holds no difference, near its place. Each pair is then checked.
     """
-    cut = F.transform(F.sequence(F.lit(1), F.length("token")), lambda i: F.concat(F.left(F.col("token"), i - 1), F.substring(F.col("token"), i + 1, F.length(F.col("token")))))
-    keys = vocabulary.where(F.length("token") > 5).select("token", F.explode(F.array_distinct(F.concat(F.array("token"), cut))).alias("key"))
-    return keys.repartition("key").sortWithinPartitions("key", "token").mapInArrow(_ratio_batches, "short string, long string").distinct()
+    keys = checkpoint(vocabulary.where(F.length("token") > 3).select("token").mapInArrow(_key_batches, "token string, key string, probe boolean"))
+    a, b = keys.select("key", F.col("token").alias("short"), F.col("probe").alias("p")), keys.select("key", F.col("token").alias("long"), F.col("probe").alias("q"))
+    both = F.length("short") + F.length("long")
+    rests = a.where("p IS NULL").join(b.where("q IS NULL"), "key").where((F.col("short") < F.col("long")) & ((F.length("key") - 1) * 200 >= both * 86))
+    pieces = a.where("NOT p").join(b.where("q"), "key").where((F.col("short") != F.col("long")))
+    found = rests.select("short", "long").union(pieces.select(F.least("short", "long"), F.greatest("short", "long"))).distinct()
+    return found.mapInArrow(_ratio_batches, "short string, long string")
 
 
 def resolve(memos: DataFrame, memo: str, near: bool = True) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import json
 import pickle
+import random
 from difflib import SequenceMatcher
 
 import pytest
@@ -233,3 +234,19 @@ def test_streams(spark, tmp_path):
     assert sorted(r["alias_token"] for r in sink.mapping().collect()) == ["ACCT-1", "ACCT-2", "ACCT-3"]
     daily_volume(read(), "10 days").writeStream.format("memory").queryName("vol").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
     assert {r["n"] for r in spark.table("vol").collect()} == {3}
+
+
+def test_near_links_are_all_pairs_of_the_ratio(spark):
+    r = random.Random(3)
+    words = {"STARBUCKS", "STRBCKS", "MARKT", "MARKET", "KORVANDRENTALMISUBAK", "KORVNDRENTALISUBK"}
+    for _ in range(40):
+        base = "".join(r.choice(("BA", "DREN", "KOR", "MI", "TAL", "VOR")) for _ in range(r.randint(2, 9)))
+        for _ in range(5):
+            w = list(base)
+            for _ in range(r.randint(0, 4)):
+                w[r.randrange(len(w))] = r.choice(("", "A", "R", "TE"))
+            words.add("".join(w) or "X")
+    got = {frozenset(x) for x in resolve.near_links(spark.createDataFrame([(w,) for w in words], "token string")).collect()}
+    want = {frozenset((a, b)) for a in words for b in words if a != b and (resolve.similarity(a, b) >= 0.86 or resolve.similarity(b, a) >= 0.86)}
+    assert got == want and len(want) > 60
+    assert {frozenset(("STARBUCKS", "STRBCKS")), frozenset(("MARKT", "MARKET"))} <= got
