@@ -164,6 +164,11 @@ def test_entities_of_a_session_do_not_depend_on_its_size(spark, monkeypatch):
     assert small == parts(1) and any({"LGRZLR GOF", "LUGARZELOR GOFAVAN"} <= set(v) for _, v in small)
 
 
+def test_an_initial_of_two_people_joins_neither_in_a_small_session():
+    rows = ["E KARVONE", "EDWARD KARVONE", "ELEANOR KARVONE", "KARVONE, OSWALD", "O. KARVONE"]
+    assert dedupe._label(rows) == [*rows[:4], "KARVONE, OSWALD"]
+
+
 def test_history_admits_batch_by_batch(spark, tmp_path):
     rows = _rows(7, 120, 0.3)
     history, got = dedupe.History(spark, str(tmp_path / "h"), buckets=4), {}
