@@ -13,6 +13,7 @@ from datetime import UTC, datetime
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from .functions.text import token_number
 from .operators import aliases, checks, projection, redact
 from .plans import ingest as plan
 from .sources import statement
@@ -66,7 +67,7 @@ def _payees(store, args) -> int:
         elif args.rename:
             plan.change(store, aliases.rename, *args.rename)
         else:
-            for r in aliases.review(plan.table(store, "alias_mapping"), plan.table(store, "payee_variant")).orderBy("head").toLocalIterator():
+            for r in aliases.review(plan.table(store, "alias_mapping"), plan.table(store, "payee_variant")).orderBy(token_number(F.col("head")), "head").toLocalIterator():
                 print(f"{r['head']}\t{r['variant_count']}\t{r['confidence']:.2f}{' review' if r['low_confidence'] else ''}")
     except ValueError as e:
         print(e, file=sys.stderr)

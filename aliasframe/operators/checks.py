@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import aba_valid, is_canonical, luhn_valid, spans
+from ..session import broadcast_checked, checkpoint
 
 LINE_BREAKS = r"\r\n|[\n\r\u000B\u000C\u001C-\u001E\u0085  ]"
 SSN = r"\b\d{3}-\d{2}-\d{4}\b"
@@ -71,22 +72,59 @@ def verdict(findings: DataFrame) -> DataFrame:
     return findings.agg(F.count("*").alias("findings"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds")).select(F.when(F.col("findings") == 0, "clean").otherwise("leaks").alias("verdict"), "findings", "kinds")
 
 
+#: Lengths of the pieces of words that seeds and texts meet on.
+SIZES = (8, 4, 2, 1)
+_EDGE = "[^\\p{L}\\p{N}]+"
+
+
+def _cut(word: Column, take) -> Column:
+    """A piece of the word with the greatest of ``SIZES`` letters that it has: ``take(word, size)``."""
+    out = F.lit(None).cast("string")
+    for n in reversed(SIZES):
+        out = F.when(F.length(word) >= n, F.concat(F.lit(str(n)), take(word, n))).otherwise(out)
+    return out
+
+
 def seed_hits(rows: DataFrame, key: str, text: str, seeds: DataFrame) -> DataFrame:
-    """``key, seed`` of every seed (``seeds(seed)``) that stands in a text, in any case, from a word's start on.
+    """``key, seed`` of every seed (``seeds(seed)``) that stands anywhere in a text, in any case, inside words too.
 
-    Texts and seeds meet in an equi-join on the seed's longest word (its last word, which a text may go on with, counts
-    only if it is the only one), so the seed list may grow without being broadcast and a common first word costs nothing.
-    Only keys and words are shuffled for it; then the whole seed is looked for. Seeds without a letter or digit find nothing.
+    A seed and the texts that hold it meet in an equi-join on one piece of the seed, its longest: a word between two others stands whole in the text;
+    of the first word the end, of the last the beginning is certain, and of an only word any part of eight letters (4, 2, 1 for shorter ones).
+    Texts put out only the kinds and sizes of pieces that some seed has. Keys and hashed pieces are shuffled for it, not texts; the list of seeds is broadcast only while
+    it is small. Then the whole seed is looked for. A seed of signs only meets texts on its first sign; null and empty seeds find nothing.
     """
-    parts = F.filter(F.split(F.lower("seed"), "[^a-z0-9]+"), lambda w: w != "")
-    sure = F.when(F.size("parts") > 1, F.slice("parts", 1, F.size("parts") - 1)).otherwise(F.col("parts"))
-    longest = F.element_at(F.array_sort(F.transform(sure, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1)["w"]
-    wanted = seeds.select("seed").distinct().withColumn("parts", parts).where(F.size("parts") > 0).select("seed", longest.alias("w"))
-    said = rows.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.explode(F.array_distinct(F.split(F.lower(text), "[^a-z0-9]+"))).alias("w"))
-    met = said.join(wanted, "w").groupBy("k").agg(F.collect_set("seed").alias("maybe"))
-    lower = F.lower(F.col("t"))
-    both = rows.select(F.col(key).alias("k"), F.col(text).alias("t")).join(met, "k")
-    return both.select(F.col("k").alias(key), F.explode(F.filter("maybe", lambda x: F.contains(lower, F.lower(x)))).alias("seed")).distinct()
+    low = seeds.where(F.coalesce("seed", F.lit("")) != "").select("seed").distinct().withColumn("low", F.lower("seed"))
+    low = low.withColumn("parts", F.split("low", _EDGE))
+    n = F.size("parts")
+    last = F.element_at("parts", -1)
+    inner = F.transform(F.slice("parts", 2, F.greatest(n - 2, F.lit(0))), lambda w: F.concat(F.lit("w"), w))
+    whole = F.transform(F.filter(F.array(F.when(n == 1, last)), lambda w: w != ""), lambda w: F.concat(F.lit("g"), _cut(w, lambda x, k: F.left(x, F.lit(k)))))
+    ends = F.when(n > 1, F.array(F.concat(F.lit("e"), _cut(F.col("parts")[0], lambda x, k: F.right(x, F.lit(k)))), F.concat(F.lit("b"), _cut(last, lambda x, k: F.left(x, F.lit(k)))))).otherwise(F.array().cast("array<string>"))
+    pieces = F.filter(F.concat(inner, ends, whole), lambda p: p.isNotNull() & (F.length(p) > 1))
+    best = F.try_element_at(F.array_sort(F.transform(pieces, lambda p: F.struct((-F.length(p)).alias("less"), p.alias("p")))), F.lit(1))["p"]
+    wanted = checkpoint(low.select("seed", "low", F.coalesce(best, F.concat(F.lit("s"), F.left("low", F.lit(1)))).alias("piece")))
+    kinds = {r[0] for r in wanted.select(F.when(F.col("piece").rlike("^[ebg]"), F.left("piece", F.lit(2))).otherwise(F.left("piece", F.lit(1)))).distinct().collect()}  # at most 14
+    words = F.filter(F.array_distinct(F.split(F.lower(text), _EDGE)), lambda w: w != "")
+
+    def of_word(w: Column) -> Column:
+        parts = [F.array(F.concat(F.lit("w"), w))] if "w" in kinds else []
+        for k in SIZES:
+            long = F.length(w) >= k
+            if f"e{k}" in kinds:
+                parts.append(F.when(long, F.array(F.concat(F.lit(f"e{k}"), F.right(w, F.lit(k))))).otherwise(F.array().cast("array<string>")))
+            if f"b{k}" in kinds:
+                parts.append(F.when(long, F.array(F.concat(F.lit(f"b{k}"), F.left(w, F.lit(k))))).otherwise(F.array().cast("array<string>")))
+            if f"g{k}" in kinds:
+                parts.append(F.when(long, F.transform(F.sequence(F.lit(1), F.length(w) - k + 1), lambda i: F.concat(F.lit(f"g{k}"), F.substring(w, i, F.lit(k))))).otherwise(F.array().cast("array<string>")))  # noqa: B023
+        return F.concat(*parts) if parts else F.array().cast("array<string>")
+
+    said = F.flatten(F.transform(words, of_word))
+    if "s" in kinds:
+        said = F.concat(said, F.transform(F.array_distinct(F.split(F.regexp_replace(F.lower(text), "[\\p{L}\\p{N}]+", ""), "")), lambda c: F.concat(F.lit("s"), c)))
+    told = rows.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.explode(F.array_distinct(F.transform(said, lambda p: F.xxhash64(p)))).alias("h"))
+    met = told.join(broadcast_checked(wanted.select("seed", "low", F.xxhash64("piece").alias("h"))), "h").select("k", "seed", "low")
+    both = met.join(rows.select(F.col(key).alias("k"), F.lower(F.col(text)).alias("t")), "k")
+    return both.where(F.contains("t", "low")).select(F.col("k").alias(key), "seed").distinct()
 
 
 def refuse(findings: DataFrame, allow: bool = False) -> None:

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import variant_key
+from ..functions.instants import with_instant
+from ..functions.text import token_number, variant_key
 from ..session import broadcast_checked
 from . import aliases, checks
 
@@ -20,46 +21,59 @@ RECORD = ("account", "institution", "payee", "date", "amount", "ttype", "categor
 def payee_tokens(mapping: DataFrame, variants: DataFrame) -> DataFrame:
     """variant, payee: the canonical token of every recorded spelling."""
     at = aliases.heads(mapping.where(F.col("entity_type") == "PAYEE"))
-    return variants.join(at, F.col("alias_token") == F.col("token"), "left").groupBy("variant").agg(F.min(F.coalesce("head", "alias_token")).alias("payee"))
+    return variants.join(at, F.col("alias_token") == F.col("token"), "left").withColumn("payee", F.coalesce("head", "alias_token")).groupBy("variant").agg(F.min_by("payee", F.struct(token_number(F.col("payee")), "payee")).alias("payee"))
+
+
+def with_day(raw: DataFrame) -> DataFrame:
+    """Add ``day``: the calendar day of ``posted_date`` in UTC, as ``YYYY-MM-DD``, in whatever way it is written.
+
+    Values without a clock, or with a clock but no zone, keep the day they show. Text that states no day stays as it is; null stays null.
+    """
+    taken = [c for c in raw.columns if c != "day"]
+    read = with_instant(raw.select(*taken, F.col("posted_date").alias("__date")), "__date", prefix="__p_")
+    day = F.date_format("__p_utc_day", "yyyy-MM-dd")
+    return read.select(*taken, F.coalesce(day, "posted_date").alias("day"))
 
 
 def project(raw: DataFrame, mapping: DataFrame, variants: DataFrame) -> DataFrame:
     """``id`` and a record of :data:`RECORD` per raw row, with ``amount_cents``.
 
-    Identifying values become tokens; a value without one stays as it is, for the lint to refuse. An
+    Dates are calendar days (:func:`with_day`). Identifying values become tokens; a value without one stays as it is, for the lint to refuse. An
     empty institution is null. Dictionaries are broadcast only while they are small.
     """
     accounts = aliases.resolve_values(mapping, "ACCT").select(F.col("real_value").alias("account_id"), F.col("token").alias("__account"))
     banks = aliases.resolve_values(mapping, "INST").select(F.col("real_value").alias("institution"), F.col("token").alias("__bank"))
     payees = payee_tokens(mapping, variants).withColumnRenamed("payee", "__payee")
-    rows = raw.select("id", "account_id", "institution", "raw_payee", "posted_date", "amount_cents").withColumn("variant", variant_key(F.col("raw_payee")))
+    carried = [F.col(c) if c in raw.columns else F.lit("").alias(c) for c in ("ttype", "category")]
+    rows = with_day(raw.select("id", "account_id", "institution", "raw_payee", "posted_date", "amount_cents", *carried)).withColumn("variant", variant_key(F.col("raw_payee")))
     out = rows.join(broadcast_checked(accounts), "account_id", "left").join(broadcast_checked(banks), "institution", "left").join(broadcast_checked(payees), "variant", "left")
     return out.select(
         "id",
         F.coalesce("__account", "account_id", F.lit("")).alias("account"),
         F.coalesce("__bank", F.nullif("institution", F.lit(""))).alias("institution"),
         F.coalesce("__payee", "raw_payee", F.lit("")).alias("payee"),
-        F.col("posted_date").alias("date"),
+        F.col("day").alias("date"),
         (F.col("amount_cents") / F.lit(100.0)).alias("amount"),
-        F.lit("").alias("ttype"),
-        F.lit("").alias("category"),
+        F.coalesce("ttype", F.lit("")).alias("ttype"),
+        F.coalesce("category", F.lit("")).alias("category"),
         "amount_cents",
     )
 
 
 def month_rows(raw: DataFrame, month: str) -> DataFrame:
-    """Rows whose written date begins with ``YYYY-MM``."""
+    """Rows whose calendar day, however written, lies in the month ``YYYY-MM``."""
     if not re.fullmatch(r"\d{4}-(0[1-9]|1[0-2])", month):
         raise ValueError("a month is written YYYY-MM")
-    return raw.where(F.col("posted_date").startswith(month))
+    return with_day(raw).where(F.col("day").startswith(month)).select(*raw.columns)
 
 
 def months(raw: DataFrame) -> DataFrame:
-    return raw.where(F.coalesce(F.col("posted_date"), F.lit("")) != "").select(F.substring("posted_date", 1, 7).alias("month")).distinct()
+    """month: every ``YYYY-MM`` in which a row's calendar day lies."""
+    return with_day(raw).where(F.col("day").try_cast("date").isNotNull()).select(F.substring("day", 1, 7).alias("month")).distinct()
 
 
 def window(records: DataFrame, start: str | None = None, end: str | None = None, accounts: list[str] | DataFrame | None = None) -> DataFrame:
-    """Records with start <= date <= end (text order; either end may be open) of some accounts (None: all, empty: none)."""
+    """Records with start <= date <= end (dates are ``YYYY-MM-DD``; either end may be open) of some accounts (None: all, empty: none)."""
     out = records
     if start is not None:
         out = out.where(F.col("date") >= start)

@@ -3,7 +3,9 @@
 Two forms of the same rules. :class:`Resolver` is the online fold: one memo after another, with the
 snowball caps, for a session's worth of memos. :func:`resolve` is the set form for whole tables: the evidence
 becomes star-shaped links found by equi-joins (shared token, five-letter prefix, initials, near spelling on
-the vocabulary), and connected components of the links are the entities. Where no cap binds, both agree.
+the vocabulary), and connected components of the links are the entities. A component whose evidence has run
+away - more identifying tokens than ``ANCHORS`` - is cut: every list keeps the link of its most shared token only.
+Where no cap binds, both forms agree.
 """
 
 from __future__ import annotations
@@ -119,7 +121,9 @@ def _key_batches(batches):
 def _ratio_batches(batches):
     for batch in batches:
         pairs = zip(batch.column("short").to_pylist(), batch.column("long").to_pylist(), strict=True)
-        yield batch.filter(pa.array([SequenceMatcher(None, a, b).quick_ratio() >= SIMILAR and (similarity(a, b) >= SIMILAR or similarity(b, a) >= SIMILAR) for a, b in pairs], pa.bool_()))
+        scores = [max(similarity(a, b), similarity(b, a)) if SequenceMatcher(None, a, b).quick_ratio() >= SIMILAR else 0.0 for a, b in pairs]
+        kept = pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "score"])
+        yield kept.filter(pa.array([x >= SIMILAR for x in scores], pa.bool_()))
 
 
 def similarity(a: str, b: str) -> float:
@@ -127,7 +131,7 @@ def similarity(a: str, b: str) -> float:
 
 
 def near_links(vocabulary: DataFrame) -> DataFrame:
-    """short, long: all pairs of identifying tokens with a similarity of 0.86 or more.
+    """short, long, score: all pairs of identifying tokens with a similarity of 0.86 or more.
 
     The letters that such a pair has in common are what is left of both when the others are left out: at most 14 in 57 of the longer word.
     Words up to ``SHORT`` letters meet, in an equi-join, on these rests. A longer word would have too many; it meets
@@ -139,12 +143,39 @@ def near_links(vocabulary: DataFrame) -> DataFrame:
     rests = a.where("p IS NULL").join(b.where("q IS NULL"), "key").where((F.col("short") < F.col("long")) & ((F.length("key") - 1) * 200 >= both * 86))
     pieces = a.where("NOT p").join(b.where("q"), "key").where((F.col("short") != F.col("long")))
     found = rests.select("short", "long").union(pieces.select(F.least("short", "long"), F.greatest("short", "long"))).distinct()
-    return found.mapInArrow(_ratio_batches, "short string, long string")
+    return found.mapInArrow(_ratio_batches, "short string, long string, score double")
+
+
+def _cut(disc: DataFrame, labelled: DataFrame, pairs: DataFrame) -> DataFrame | None:
+    """doc, entity for the lists of runaway components; None if there are none.
+
+    Of a component with more than ``ANCHORS`` identifying tokens each list keeps the token that most lists of the component share,
+    its anchor, and is linked by nothing else; an anchor like a more shared one next to it follows that one. So an entity holds lists that all
+    share one word, or a word and its near spellings, however long the chains around it. Counting and picking
+    are aggregations with partial results, so a component of any size is no one task's work.
+    """
+    held = disc.select(F.array_join("tokens", " ").alias("doc"), "token").join(labelled.select(F.col("node").alias("doc"), "label"), "doc")
+    over = held.groupBy("label").agg(F.countDistinct("token").alias("n")).where(F.col("n") > ANCHORS).select("label")
+    if over.isEmpty():
+        return None
+    part = checkpoint(held.join(over, "label"))
+    share = part.groupBy("label", "token").agg(F.count("*").alias("df"))
+    anchored = checkpoint(part.join(share, ["label", "token"]).groupBy("label", "doc").agg(F.max(F.struct("df", "token")).alias("a")).select("label", "doc", "a.df", F.col("a.token").alias("token")))
+    words = checkpoint(anchored.select("label", "token", "df").distinct())
+    sides = pairs.select("short", "long").union(pairs.select("long", "short"))
+    mine, theirs = words.select("label", F.col("token").alias("short"), F.col("df").alias("d")), words.select("label", F.col("token").alias("long"), F.col("df").alias("e"))
+    up = checkpoint(mine.join(sides, "short").join(theirs, ["label", "long"]).where(F.struct("e", "long") > F.struct("d", "short")).groupBy("label", "short").agg(F.max(F.struct("e", "long")).alias("up")).select("label", F.col("short").alias("token"), F.col("up.long").alias("head")))
+    tops = up.join(up.select("label", F.col("token").alias("head")), ["label", "head"], "left_anti")
+    home = anchored.join(tops, ["label", "token"], "left").select("label", "doc", F.coalesce("head", "token").alias("head"))
+    least = home.groupBy("label", "head").agg(F.min("doc").alias("entity"))
+    return home.join(least, ["label", "head"]).select("doc", "entity")
 
 
 def resolve(memos: DataFrame, memo: str, near: bool = True) -> DataFrame:
-    """memo, tokens, entity for every distinct non-null memo; ``entity`` is the least token list of its component.
+    """memo, tokens, entity, confidence for every distinct non-null memo; ``entity`` is the least token list of its entity.
 
+    ``confidence`` is that of the best evidence that links the list: 1.0 a shared token, 0.90 a prefix, 0.85 initials, the ratio of a near
+    spelling, 0.90 at most in a component cut for having run away, and 1.0 for a list that gave its entity the name or stands alone.
     A memo of generic tokens only stands for itself. Extra columns are left behind.
     """
     named = checkpoint(memos.where(F.col(memo).isNotNull()).select(F.col(memo).alias("memo")).distinct().withColumn("tokens", memo_tokens(F.col("memo"))))
@@ -152,14 +183,23 @@ def resolve(memos: DataFrame, memo: str, near: bool = True) -> DataFrame:
     disc = checkpoint(discriminative(docs))
     words = disc.select("token").distinct()
     first = disc.groupBy("token").agg(F.min("tokens").alias("tokens"))
-    pairs = prefix_links(words)
+    pairs = prefix_links(words).withColumn("score", F.lit(0.90))
     if near:
         pairs = pairs.unionByName(near_links(words))
+    pairs = checkpoint(pairs)
     a, b = first.select(F.col("token").alias("short"), F.col("tokens").alias("a")), first.select(F.col("token").alias("long"), F.col("tokens").alias("b"))
-    by_word = pairs.join(a, "short").join(b, "long").select("a", "b")
-    edges = shared_links(disc).unionByName(by_word).unionByName(initial_links(docs, disc))
-    flat = edges.select(*[F.array_join(c, " ").alias(c) for c in ("a", "b")]).where(F.col("a") != F.col("b")).distinct()
-    return named.join(components(flat), F.array_join("tokens", " ") == F.col("node"), "left").select("memo", "tokens", F.coalesce("label", F.array_join("tokens", " ")).alias("entity"))
+    by_word = pairs.join(a, "short").join(b, "long").select("a", "b", "score")
+    edges = shared_links(disc).withColumn("score", F.lit(1.0)).unionByName(by_word).unionByName(initial_links(docs, disc).withColumn("score", F.lit(0.85)))
+    flat = checkpoint(edges.select(*[F.array_join(c, " ").alias(c) for c in ("a", "b")], "score").where(F.col("a") != F.col("b")).groupBy("a", "b").agg(F.max("score").alias("score")))
+    labelled = components(flat.select("a", "b"))
+    best = flat.select("a", "score").union(flat.select("b", "score")).groupBy(F.col("a").alias("doc")).agg(F.max("score").alias("score"))
+    out = named.withColumn("doc", F.array_join("tokens", " ")).join(labelled, F.col("doc") == F.col("node"), "left").drop("node").join(best, "doc", "left")
+    cut = _cut(disc, labelled, pairs)
+    entity, score = F.coalesce("label", "doc"), F.coalesce("score", F.lit(1.0))
+    if cut is not None:
+        out = out.join(cut, "doc", "left")
+        entity, score = F.coalesce("entity", entity), F.when(F.col("entity").isNotNull(), F.least(F.lit(DEGRADED), score)).otherwise(score)
+    return out.select("memo", "tokens", entity.alias("entity"), F.when(entity == F.col("doc"), 1.0).otherwise(score).alias("confidence"))
 
 
 def labels(resolved: DataFrame, generic: DataFrame) -> DataFrame:

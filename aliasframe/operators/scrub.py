@@ -10,19 +10,15 @@ from ..functions.text import merge_spans, replace_spans, spans
 PLACEHOLDER = "[scrubbed]"
 
 # ---- fixed values: the rules' words and shapes --------------------------------------------------------
-_STEER = "ignore|disregard|forget|override|discard|skip|bypass|reveal|print|output|dump|send|email|export|leak|exfiltrate|disclose|respond|reply|repeat|say|write|act|pretend|become|behave"
-_PRIOR = "previous|prior|preceding|above|earlier|foregoing|everything|all|any|the"
-_ORDERS = "instruction|instructions|prompt|prompts|context|rule|rules|direction|directions|command|commands|message|messages|guardrail|guardrails"
-_SENSITIVE = r"password|passwords|secret|secrets|api\s*keys?|account\s+numbers?|mapping\s+table|credentials?|ssn|social\s+security|private\s+keys?|routing\s+numbers?|card\s+numbers?"
 RULES: tuple[tuple[str, str], ...] = (
-    ("override", rf"(?i)\b(?:{_STEER})\b[^.\n]{{0,40}}?\b(?:{_PRIOR})\b[^.\n]{{0,40}}?\b(?:{_ORDERS})\b"),
+    ("override", r"(?i)\b(?:ignore|disregard|forget|override|discard|skip|bypass|reveal|print|output|dump|send|email|export|leak|exfiltrate|disclose|respond|reply|repeat|say|write|act|pretend|become|behave)\b[^.\n]{0,40}?\b(?:previous|prior|preceding|above|earlier|foregoing|everything|all|any|the)\b[^.\n]{0,40}?\b(?:instruction|instructions|prompt|prompts|context|rule|rules|direction|directions|command|commands|message|messages|guardrail|guardrails)\b"),
     ("override", r"(?i)\b(?:ignore|disregard|forget|discard|override|skip|bypass)\b\s+(?:everything|all|the\s+text|the)?\s*(?:above|before|prior|preceding|foregoing|so\s+far|earlier)\b"),
     ("role_hijack", r"(?i)\byou\s+are\s+(?:now\s+)?(?:a|an|the)?[^.\n]{0,60}"),
     ("role_hijack", r"(?i)\b(?:act|behave)\s+as\s+(?:an?\s+)?[^.\n]{0,40}"),
     ("role_hijack", r"(?i)\bpretend\s+(?:to\s+be|that\s+you)\b[^.\n]{0,40}"),
     ("fake_directive", r"(?i)\b(?:new|updated|revised|real|actual|following|these)\s+(?:instruction|instructions|prompt|prompts|directive|directives|rule|rules|command|commands)\b\s*:?"),
     ("fake_directive", r"(?i)\bsystem\s+prompt\b\s*:?"),
-    ("exfiltration", rf"(?i)\b(?:reveal|print|output|dump|send|email|export|leak|exfiltrate|disclose|list|show)\b[^.\n]{{0,30}}?\b(?:{_SENSITIVE})\b[^.\n]{{0,30}}"),
+    ("exfiltration", r"(?i)\b(?:reveal|print|output|dump|send|email|export|leak|exfiltrate|disclose|list|show)\b[^.\n]{0,30}?\b(?:password|passwords|secret|secrets|api\s*keys?|account\s+numbers?|mapping\s+table|credentials?|ssn|social\s+security|private\s+keys?|routing\s+numbers?|card\s+numbers?)\b[^.\n]{0,30}"),
     ("role_marker", r"(?im)(?:(?<=^)|(?<=[\s.>|\]]))(?:system|assistant|user|human|ai)\s*:"),
     ("control_token", r"(?i)<\|?\s*(?:im_start|im_end|endoftext|system|user|assistant|eot_id|start_header_id|end_header_id)\s*\|?>"),
     ("control_token", r"(?i)\[/?\s*INST\s*\]"),

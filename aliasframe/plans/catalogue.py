@@ -6,6 +6,7 @@ store; ``ledger`` is a view derived from the order tables, with a known grouping
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -81,14 +82,38 @@ _HEADS_SQL = """
         SELECT h.token, m.merged_into, n + 1 FROM hop h JOIN alias_mapping m ON m.alias_token = h.spot WHERE m.merged_into IS NOT NULL AND n < 60
     ), heads AS (SELECT token, arg_max(spot, n) AS head FROM hop GROUP BY token)
 """
+#: The calendar day in UTC of a written date: year first, else month first with slash or dash, day first with dots, names of months, packed, seconds.
+#: A clock with a stated zone is moved by it; one without stays where it is.
+_ISO_OFF = r"""CASE WHEN regexp_matches(x, '[+-][0-9]{2}:?[0-9]{2}$') THEN
+    (CASE WHEN regexp_matches(x, '-[0-9]{2}:?[0-9]{2}$') THEN -1 ELSE 1 END) * (60 * CAST(regexp_extract(x, '[+-]([0-9]{2}):?[0-9]{2}$', 1) AS INT) + CAST(right(x, 2) AS INT))
+    ELSE coalesce(map {'EDT': -240, 'EST': -300, 'CDT': -300, 'CST': -360, 'PDT': -420, 'PST': -480, 'CET': 60, 'CEST': 120}[regexp_extract(x, '[A-Z]{3,4}$')], 0) END"""
+_DAY_SQL = r"""strftime(CASE
+    WHEN regexp_matches(x, '^[0-9]{13}$') THEN epoch_ms(CAST(x AS BIGINT))
+    WHEN regexp_matches(x, '^[0-9]{10}$') THEN epoch_ms(CAST(x AS BIGINT) * 1000)
+    WHEN regexp_matches(x, '^[0-9]{14}') THEN strptime(left(x, 12), '%Y%m%d%H%M') - to_minutes(CAST(60 * CAST('0' || coalesce(nullif(regexp_extract(x, '\[[+-]?([0-9.]+)', 1), ''), '0') AS DOUBLE) AS BIGINT) * (CASE WHEN contains(x, '[-') THEN -1 ELSE 1 END))
+    WHEN regexp_matches(x, '^[0-9]{8}') THEN strptime(left(x, 8), '%Y%m%d')
+    WHEN regexp_matches(x, '^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ]') THEN strptime(left(x, 10) || ' ' || substr(x, 12, 5), '%Y-%m-%d %H:%M') - to_minutes(CAST(ISO_OFF AS BIGINT))
+    WHEN regexp_matches(x, '^[0-9]{4}[-/]') THEN strptime(replace(regexp_extract(x, '^[0-9]{4}[-/][0-9]+[-/][0-9]+'), '/', '-'), '%Y-%m-%d')
+    WHEN regexp_matches(x, '^[0-9]+[-/][0-9]+[-/][0-9]{4}') THEN strptime(replace(regexp_extract(x, '^[0-9]+[-/][0-9]+[-/][0-9]{4}'), '/', '-'), '%m-%d-%Y')
+    WHEN regexp_matches(x, '^[0-9]+[-/][0-9]+[-/][0-9]{2}') THEN strptime(replace(regexp_extract(x, '^[0-9]+[-/][0-9]+[-/][0-9]{2}'), '/', '-'), '%m-%d-%y')
+    WHEN regexp_matches(x, '^[0-9]+\.[0-9]+\.[0-9]{4}') THEN strptime(regexp_extract(x, '^[0-9]+\.[0-9]+\.[0-9]{4}'), '%d.%m.%Y')
+    WHEN regexp_matches(x, '^[0-9]+\.[0-9]+\.[0-9]{2}') THEN strptime(regexp_extract(x, '^[0-9]+\.[0-9]+\.[0-9]{2}'), '%d.%m.%y')
+    WHEN regexp_matches(x, '^[0-9]+[- ][A-Za-z]{3}') THEN strptime(replace(x, ' ', '-'), '%d-%b-%Y')
+    WHEN regexp_matches(x, '^[A-Za-z]{3} ') THEN strptime(replace(x, ',', ''), '%b %d %Y') END, '%Y-%m-%d')""".replace("ISO_OFF", _ISO_OFF)
+
+
+def _day_sql(column: str) -> str:
+    return re.sub(r"\bx\b", f"trim({column})", _DAY_SQL)
+
+
 _RECORDS_SQL = (
     _HEADS_SQL
     + f""", acct AS (SELECT real_value, arg_min(alias_token, CAST(regexp_extract(alias_token, '-([0-9]+)$', 1) AS BIGINT)) AS token FROM alias_mapping WHERE entity_type = 'ACCT' GROUP BY 1),
     inst AS (SELECT real_value, arg_min(alias_token, CAST(regexp_extract(alias_token, '-([0-9]+)$', 1) AS BIGINT)) AS token FROM alias_mapping WHERE entity_type = 'INST' GROUP BY 1),
-    pay AS (SELECT variant, min(coalesce(h.head, v.alias_token)) AS payee FROM payee_variant v LEFT JOIN (SELECT * FROM heads WHERE token LIKE 'PAYEE-%') h ON h.token = v.alias_token GROUP BY 1),
+    pay AS (SELECT variant, arg_min(coalesce(h.head, v.alias_token), CAST(regexp_extract(coalesce(h.head, v.alias_token), '-([0-9]+)$', 1) AS BIGINT)) AS payee FROM payee_variant v LEFT JOIN (SELECT * FROM heads WHERE token LIKE 'PAYEE-%') h ON h.token = v.alias_token GROUP BY 1),
     records AS (
         SELECT r.id, coalesce(a.token, r.account_id, '') AS account, coalesce(i.token, nullif(r.institution, '')) AS institution,
-               coalesce(p.payee, r.raw_payee, '') AS payee, r.posted_date AS date, r.amount_cents / 100.0 AS amount, '' AS ttype, '' AS category, r.amount_cents
+               coalesce(p.payee, r.raw_payee, '') AS payee, {_day_sql('r.posted_date')} AS date, r.amount_cents / 100.0 AS amount, '' AS ttype, '' AS category, r.amount_cents
         FROM raw_transactions r LEFT JOIN acct a ON a.real_value = r.account_id LEFT JOIN inst i ON i.real_value = r.institution
         LEFT JOIN pay p ON p.variant = {_KEY.format('r.raw_payee')})
 """
@@ -448,7 +473,7 @@ def export_month(s, d):
     return projection.project(projection.month_rows(raw, "2025-03"), mapping, variants)
 
 
-@query("SELECT DISTINCT substr(posted_date, 1, 7) AS month FROM raw_transactions WHERE posted_date <> ''")
+@query(f"SELECT DISTINCT substr({_day_sql('posted_date')}, 1, 7) AS month FROM raw_transactions WHERE posted_date IS NOT NULL")
 def months(s, d):
     return projection.months(_raw(s, d))
 

@@ -79,8 +79,3 @@ def falsify(client: Client, start: str, end: str, replies: DataFrame | None = No
     said = said.distinct().withColumn("k", F.xxhash64("text"))
     leaks = checks.seed_hits(said, "k", "text", seeds(client.raw, client.mapping)).count() + checks.scan_text(said, "k", "text").count()
     return {"ok": wrong == 0 and leaks == 0, "wrong": wrong, "leaks": leaks}
-
-
-def attested(records: DataFrame, stamp: str) -> str:
-    """The envelope line that goes with an exported month."""
-    return json.dumps({"version": 1, "rows": records.count(), "provenance": projection.attestation(stamp)}, sort_keys=True)

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.amounts import cents
-from ..functions.text import display_label, variant_key
+from ..functions.text import display_label, token_number, variant_key
 from ..operators import aliases, projection, resolve
 from ..session import checkpoint
 from ..sources.store import Store
 
 TABLES = {
-    "raw_transactions": "id bigint, account_id string, posted_date string, amount_cents bigint, currency string, raw_payee string, raw_memo string, source_file string, institution string",
+    "raw_transactions": "id bigint, account_id string, posted_date string, amount_cents bigint, currency string, raw_payee string, raw_memo string, source_file string, institution string, ttype string, category string",
     "alias_mapping": "alias_token string, entity_type string, real_value string, merged_into string",
     "payee_variant": "variant string, alias_token string, confidence double",
     "payee_journal": "op string, winner string, loser string, note string",
@@ -33,8 +33,8 @@ def _new_variants(raw: DataFrame, mapping: DataFrame, variants: DataFrame) -> tu
     fresh = spelt.join(variants.select("variant"), "variant", "left_anti")
     if fresh.isEmpty():
         return mapping.limit(0), variants.limit(0)
-    found = resolve.resolve(variants.select("variant").union(fresh.select("variant")), "variant").select(F.col("memo").alias("variant"), "tokens", "entity")
-    owner = found.join(variants, "variant").groupBy("entity").agg(F.min("alias_token").alias("alias_token"))
+    found = resolve.resolve(variants.select("variant").union(fresh.select("variant")), "variant").select(F.col("memo").alias("variant"), "tokens", "entity", "confidence")
+    owner = found.join(variants.select("variant", "alias_token"), "variant").groupBy("entity").agg(F.min_by("alias_token", token_number(F.col("alias_token"))).alias("alias_token"))
     mine = checkpoint(found.join(fresh, "variant").join(owner, "entity", "left"))
     lone = mine.where(F.col("alias_token").isNull())
     first = lone.groupBy("entity").agg(F.min("seen").alias("seen"), F.min_by("variant", "seen").alias("variant"), F.min_by("tokens", "seen").alias("tokens"))
@@ -45,7 +45,9 @@ def _new_variants(raw: DataFrame, mapping: DataFrame, variants: DataFrame) -> tu
     issued = aliases.issue(named.select(F.lit("PAYEE").alias("entity_type"), F.col("label").alias("real_value"), "seen"), None, aliases.counters(mapping) if not mapping.isEmpty() else None)
     issued = checkpoint(issued)
     token_of = named.select("label", F.explode("entities").alias("entity")).join(issued, F.col("label") == F.col("real_value")).select("entity", F.col("alias_token").alias("new_token"))
-    rows = mine.join(token_of, "entity", "left").select("variant", F.coalesce("alias_token", "new_token").alias("alias_token"), F.lit(1.0).alias("confidence"))
+    opening = lone.groupBy("entity").agg(F.min_by("variant", "seen").alias("opening"))  # the spelling an entity begins with is certain
+    opened = F.col("alias_token").isNull() & (F.col("variant") == F.col("opening"))
+    rows = mine.join(token_of, "entity", "left").join(opening, "entity", "left").select("variant", F.coalesce("alias_token", "new_token").alias("alias_token"), F.when(opened, 1.0).otherwise(F.col("confidence")).alias("confidence"))
     return issued.select("alias_token", "entity_type", "real_value", F.lit(None).cast("string").alias("merged_into")), rows
 
 
@@ -61,7 +63,7 @@ def ingest(store: Store, rows: DataFrame) -> DataFrame:
     good = rows.where(F.col("reason").isNull())
     new = checkpoint(good.select(
         (F.lit(last + 1) + F.monotonically_increasing_id()).alias("id"), "account_id", F.col("date").alias("posted_date"), cents(F.col("amount")).alias("amount_cents"), F.lit("USD").alias("currency"),
-        F.col("description").alias("raw_payee"), F.lit(None).cast("string").alias("raw_memo"), "source_file", "institution",
+        F.col("description").alias("raw_payee"), F.lit(None).cast("string").alias("raw_memo"), "source_file", "institution", "ttype", "category",
     ))
     values = new.select(F.lit("ACCT").alias("entity_type"), F.col("account_id").alias("real_value"), F.col("id").alias("seen")).unionByName(new.select(F.lit("INST").alias("entity_type"), F.col("institution").alias("real_value"), F.col("id").alias("seen")))
     issued = checkpoint(aliases.issue(values, mapping, aliases.counters(mapping)))
@@ -71,7 +73,7 @@ def ingest(store: Store, rows: DataFrame) -> DataFrame:
     whole_variants = checkpoint(variants.select("variant", "alias_token", "confidence").unionByName(more_variants.select("variant", "alias_token", "confidence")))
     store.write("alias_mapping", whole_map)
     store.write("payee_variant", whole_variants)
-    store.write("raw_transactions", raw.unionByName(new))
+    store.append("raw_transactions", new)
     return summary
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import schema_drift
-from ..operators.records import parse_lines, source_file_faults, typed_records
+from ..operators.records import FIELD_LABELS, parse_lines, source_file_faults, typed_records
 from ..operators.timestamps import to_utc
 from ..session import read_table
 
@@ -65,3 +65,54 @@ def p3_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_rejected, p2_loaded, p3_found, p3_report, p3_table, p6_found, p6_normalised)}
+
+
+def _labels(field: str) -> str:
+    return "[" + ", ".join(f"'{x}'" for x in FIELD_LABELS[field]) + "]"
+
+
+_WELL = """(?s)("([^"]|"")*"|[^",][^,]*|)(,("([^"]|"")*"|[^",][^,]*|))*"""
+_CLOCK = r"([01]?[0-9]|2[0-3]):[0-5][0-9](:[0-5][0-9](\.[0-9]{1,9})?)?"
+_ZONE = r"(\s*(Z|z|[+-][0-9]{2}:?[0-9]{2}|[+-][0-9]{1,2})|\s+(Z|UTC|GMT|WET|BST|WEST|CET|CEST|EET|EEST|IST|EST|EDT|CST|CDT|MST|MDT|PST|PDT))?"
+#: Written days: (pattern of the whole value, its day, the day's form).
+_DAYS = (
+    (rf"[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}(([Tt]|\s+){_CLOCK}{_ZONE})?", "[0-9]+-[0-9]+-[0-9]+", "%Y-%m-%d"),
+    (rf"[0-9]{{4}}/[0-9]{{1,2}}/[0-9]{{1,2}}(([Tt]|\s+){_CLOCK}{_ZONE})?", "[0-9]+/[0-9]+/[0-9]+", "%Y/%m/%d"),
+    (rf"[0-9]{{1,2}}-[0-9]{{1,2}}-[0-9]{{4}}(,?\s+{_CLOCK}(\s*[AaPp]\.?[Mm]\.?)?{_ZONE})?", "[0-9]+-[0-9]+-[0-9]+", "%m-%d-%Y"),
+    (rf"[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}}(,?\s+{_CLOCK}(\s*[AaPp]\.?[Mm]\.?)?{_ZONE})?", "[0-9]+/[0-9]+/[0-9]+", "%m/%d/%Y"),
+    (rf"[0-9]{{1,2}}-[0-9]{{1,2}}-[0-9]{{2}}(,?\s+{_CLOCK}(\s*[AaPp]\.?[Mm]\.?)?{_ZONE})?", "[0-9]+-[0-9]+-[0-9]+", "%m-%d-%y"),
+    (rf"[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{2}}(,?\s+{_CLOCK}(\s*[AaPp]\.?[Mm]\.?)?{_ZONE})?", "[0-9]+/[0-9]+/[0-9]+", "%m/%d/%y"),
+    (rf"[0-9]{{1,2}}\.[0-9]{{1,2}}\.[0-9]{{4}}(,?\s+{_CLOCK}{_ZONE})?", "[0-9]+[.][0-9]+[.][0-9]+", "%d.%m.%Y"),
+    (rf"[0-9]{{1,2}}\.[0-9]{{1,2}}\.[0-9]{{2}}(,?\s+{_CLOCK}{_ZONE})?", "[0-9]+[.][0-9]+[.][0-9]+", "%d.%m.%y"),
+    (r"[0-9]{8}", "[0-9]{8}", "%Y%m%d"),
+    (r"[0-9]{8}([01][0-9]|2[0-3])[0-5][0-9][0-5][0-9](\.[0-9]{1,9})?(\[[+-]?[0-9]{1,2}(\.[0-9]{1,2})?(:[A-Za-z]{1,5})?\])?", "[0-9]{8}", "%Y%m%d"),
+    (r"[0-9]{1,2}-[A-Za-z]{3}-[0-9]{4}", ".*", "%d-%b-%Y"),
+    (r"[0-9]{1,2} [A-Za-z]{3} [0-9]{4}", ".*", "%d %b %Y"),
+    (r"[A-Za-z]{3} [0-9]{1,2}, [0-9]{4}", ".*", "%b %d, %Y"),
+    (r"[A-Za-z]{3} [0-9]{1,2} [0-9]{4}", ".*", "%b %d %Y"),
+)
+_DAY_OK = "regexp_full_match({0}, '[0-9]{{10}}|[0-9]{{13}}') OR " + " OR ".join("(regexp_full_match({0}, '%s') AND try_strptime(regexp_extract({0}, '^%s'), '%s') IS NOT NULL)" % tuple(x.replace("{", "{{").replace("}", "}}") for x in d) for d in _DAYS)
+_AMOUNT = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '(?s)^\s*\((.*)\)\s*$', '\1'), '(?i)(CR|DR)\s*$', ''), '-\s*$', ''), '[,\s$£€\x{{00A0}}]', '', 'g')"
+_AMOUNT_OK = "(regexp_full_match(" + _AMOUNT + r", '[+-]?([0-9]+(_[0-9]+)*(\.([0-9]+(_[0-9]+)*)?)?|\.[0-9]+(_[0-9]+)*)([eE][+-]?[0-9]+)?') AND coalesce(isfinite(TRY_CAST(replace(" + _AMOUNT + ", '_', '') AS DOUBLE)), false))"
+_CELL = lambda field: f"cells[at_{field}]"
+_PATH_OK = r"regexp_full_match(source_file, '[^/]*[^/\s][^/]*/(checking|credit)_[0-9]{4}-(0[1-9]|1[0-2])\.(csv|ofx|qfx)') AND NOT contains(source_file, '_0000-')"
+#: Every record below a header with its cells and what is wrong with it, from the definition in words and independent of the parser.
+_FAULTS_SQL = rf"""
+    WITH cut AS (SELECT line_id, file_id, line_no, coalesce(raw_line, '') AS raw, list_transform(regexp_extract_all(',' || replace(coalesce(raw_line, ''), '{chr(0xFEFF)}', ''), '(?s),("(?:[^"]|"")*"|[^",][^,]*|)', 1),
+        lambda c: CASE WHEN c LIKE '"%' THEN replace(substr(c, 2, length(c) - 2), '""', '"') ELSE c END) AS cells FROM statement_lines),
+    head AS (SELECT file_id, list_transform(arg_min(cells, line_id), lambda c: trim(regexp_replace(lower(c), '[^a-z0-9]+', ' ', 'g'))) AS names FROM cut WHERE line_no = 1 GROUP BY 1),
+    placed AS (SELECT *, {", ".join(f"list_filter(range(1, len(names) + 1), lambda i: list_contains({_labels(f)}, names[i]))[1] AS at_{f}" for f in ("date", "description", "amount", "debit", "credit"))} FROM head),
+    judged AS (SELECT line_id, file_id, line_no, cells, CASE
+        WHEN NOT regexp_full_match(raw, '{_WELL}') THEN 'quote'
+        WHEN len(list_filter(cells, lambda c: regexp_matches(c, '\S'))) = 0 THEN 'blank'
+        WHEN names IS NULL OR len(cells) <> len(names) THEN 'cells'
+        WHEN at_date IS NOT NULL AND NOT ({_DAY_OK.format("trim(cells[at_date])")}) THEN 'date'
+        WHEN at_amount IS NOT NULL AND NOT {_AMOUNT_OK.format("cells[at_amount]")} THEN 'amount'
+        WHEN at_amount IS NULL AND (at_debit IS NOT NULL OR at_credit IS NOT NULL) AND NOT (
+            (regexp_matches(coalesce(cells[at_debit], ''), '\S') AND NOT regexp_matches(coalesce(cells[at_credit], ''), '\S') AND {_AMOUNT_OK.format("cells[at_debit]")})
+            OR (regexp_matches(coalesce(cells[at_credit], ''), '\S') AND NOT regexp_matches(coalesce(cells[at_debit], ''), '\S') AND {_AMOUNT_OK.format("cells[at_credit]")})) THEN 'pair' END AS fault, at_description
+        FROM cut LEFT JOIN placed USING (file_id) WHERE line_no IS DISTINCT FROM 1)
+"""
+SQL = {
+    "p2_found": _FAULTS_SQL + f"SELECT 'statement_lines' AS tbl, line_id AS row_id FROM judged WHERE fault <> 'blank' UNION SELECT 'raw_transactions', id FROM raw_transactions WHERE source_file IS NOT NULL AND NOT ({_PATH_OK})",
+}

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,12 +9,14 @@ from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a private one is made only where the session names none."""
+    """The folder all executors share. A private one is made only in a local session that names none; a cluster's must name it."""
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="aliasframe-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -31,11 +32,6 @@ def broadcast_checked(df: DataFrame, most_rows: int = 20_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
 
 
-def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A folder for written tables, beside the checkpoints."""
-    return os.path.join(ensure_checkpoint_dir(spark), name)
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -77,8 +77,8 @@ class Store:
     def _cipher_key(self):
         return F.unhex(F.lit(hashlib.sha256(self.key.reveal().encode()).hexdigest()))
 
-    def write(self, name: str, df: DataFrame) -> None:
-        """Replace a table; sealed columns are encrypted, and a keyed hash beside each keeps equality testable."""
+    def _seal(self, name: str, df: DataFrame) -> str:
+        """Write the rows, sealed, to a new folder; returns its place in the store."""
         out = df
         for c in SEALED.get(name, ()):
             if c in df.columns:
@@ -86,13 +86,22 @@ class Store:
                 out = out.withColumn(f"{c}__mac", mac).withColumn(c, F.aes_encrypt(F.col(c), self._cipher_key(), F.lit("GCM")))
         version = f"{name}/v-{uuid.uuid4().hex}"
         out.write.parquet(f"{self.path}/{version}")
-        self._write(f"{name}.pointer", version)
+        return version
+
+    def write(self, name: str, df: DataFrame) -> None:
+        """Replace a table; sealed columns are encrypted, and a keyed hash beside each keeps equality testable."""
+        self._write(f"{name}.pointer", self._seal(name, df))
+
+    def append(self, name: str, df: DataFrame) -> None:
+        """Add rows to a table: they alone are written, and the pointer then names one folder more."""
+        before = self._read(f"{name}.pointer")
+        self._write(f"{name}.pointer", "\n".join([*(before or "").split(), self._seal(name, df)]))
 
     def read(self, name: str) -> DataFrame:
-        version = self._read(f"{name}.pointer")
-        if version is None:
+        versions = self._read(f"{name}.pointer")
+        if versions is None:
             raise FileNotFoundError(f"the store has no {name}")
-        df = self.spark.read.parquet(f"{self.path}/{version.strip()}")
+        df = self.spark.read.option("mergeSchema", "true").parquet(*[f"{self.path}/{v}" for v in versions.split()])
         for c in SEALED.get(name, ()):
             if c in df.columns:
                 df = df.withColumn(c, F.aes_decrypt(F.col(c), self._cipher_key(), F.lit("GCM")).cast("string")).drop(f"{c}__mac")

@@ -3,7 +3,9 @@
 import json
 import pickle
 import random
+from collections import Counter
 from difflib import SequenceMatcher
+from itertools import product
 
 import pytest
 from hypothesis import given, settings
@@ -165,6 +167,53 @@ def test_resolver_evidence():
     assert scores.count((0.90, False)) <= resolve.DEGRADED_CAP and any(new for _, new in scores)
 
 
+def test_a_chain_of_shared_words_does_not_run_away(spark):
+    codes = ["".join(p) for p in product("WXYZ", repeat=4)][:120]
+    memos = [codes[0], *(f"{a} {b}" for a, b in zip(codes, codes[1:], strict=False)), "STARBUCKS ALDERWOOD", "STARBUCKS BIRCHTON", "STARBUKCS CEDARVALE"]
+    got = {r["memo"]: r for r in resolve.resolve(spark.createDataFrame([(m,) for m in memos], "memo string"), "memo").collect()}
+    sizes = Counter(r["entity"] for r in got.values())
+    assert max(sizes.values()) <= 15 and len(sizes) > 6 and all(r["confidence"] <= 0.9 or r["entity"] == " ".join(r["tokens"]) for m, r in got.items() if m[0] in "WXYZ")
+    assert len({got[m]["entity"] for m in memos[-3:]}) == 1 and got["STARBUCKS BIRCHTON"]["confidence"] == 1.0 and 0.86 <= got["STARBUKCS CEDARVALE"]["confidence"] < 1
+
+
+def test_a_runaway_component_keeps_its_brands_together(spark):
+    towns = ["".join(p) for p in product("QXJ", repeat=4)][:40]
+    memos = [f"ALDERBREW {t}" for t in towns] + [f"MONTRUVALE {t}" for t in towns[:20]] + [f"ALDREBREW {towns[0]}A"]
+    others = ["".join(p) for p in product("BDGK", repeat=5)][:700:2]
+    got = {r["memo"]: r["entity"] for r in resolve.resolve(spark.createDataFrame([(m,) for m in memos + others], "memo string"), "memo", near=False).collect()}
+    assert len({got[m] for m in memos if m.startswith("ALDER")}) == 1 and len({got[m] for m in memos if m.startswith("MON")}) == 1 and got[memos[0]] != got[memos[40]]
+
+
+def test_many_memos_of_many_brands(spark):
+    r = random.Random(17)
+    brands = ["".join(r.choice(("BA", "DO", "KRE", "LU", "MI", "NAV", "PO", "RUS", "TEV", "ZI")) for _ in range(4)) for _ in range(300)]
+    shapes = ("POS DEBIT VISA {} {} PORTLAND OR", "{} #{} AUSTIN TX", "SQ *{} {} DENVER CO", "ACH WEB {} {}", "VISA {} STORE {} SEATTLE WA")
+    memos = [(b, s.format(b, r.randint(10, 9999))) for b in brands for s in shapes]
+    got = {x["memo"]: x["entity"] for x in resolve.resolve(spark.createDataFrame(memos, "brand string, memo string"), "memo").collect()}
+    sizes = Counter(got.values())
+    assert 240 <= len(sizes) <= 450 and max(sizes.values()) <= 10
+
+
+def test_seeds_anywhere_in_a_text(spark):
+    rows = [(1, "ref00012345678"), (2, "acct 12345678"), (3, "XMCV-CHK-0017422 x"), (4, "we like STARBUCKSX"), (5, "Кофейня Рябина тут"), (6, "a*** b"), (7, None), (8, "mystarbucks coffeehouse"), (9, "abz"), (10, "")]
+    seeds = ["12345678", "MCV-CHK-0017422", "starbucks", "рябина", "***", "STARBUCKS COFFEE", "bz", "-CHK-", "q", None, ""]
+    df = spark.createDataFrame(rows, "k int, t string").withColumn("seed", F.lit("clash"))
+    got = {tuple(r) for r in checks.seed_hits(df, "k", "t", spark.createDataFrame([(s,) for s in seeds], "seed string")).collect()}
+    assert got == {(k, s) for k, t in rows for s in seeds if t and s and s.lower() in t.lower()}
+    assert checks.seed_hits(df, "k", "t", spark.createDataFrame([], "seed string")).count() == 0
+    r = random.Random(1)
+    words = ["".join(r.choice("ab-1 ") for _ in range(r.randint(1, 14))) for _ in range(300)]
+    texts = [(i, "".join(r.choice("ab-1 ") for _ in range(60))) for i in range(80)]
+    got = {tuple(x) for x in checks.seed_hits(spark.createDataFrame(texts, "k int, t string"), "k", "t", spark.createDataFrame([(w,) for w in words], "seed string")).collect()}
+    assert got == {(k, w) for k, t in texts for w in words if w in t}
+
+
+def test_days_in_every_way_of_writing(spark):
+    raw = spark.createDataFrame([(1, "2025-03-01"), (2, "03/31/2025"), (3, "1.3.2025"), (4, "20250331233000[-5:EST]"), (5, "2025-03-31T23:30:00-05:00"), (6, "2025-03-31 23:30"), (7, "1743465599"), (8, "Mar 5, 2025"), (9, None), (10, "soon"), (11, "2025-02-30")], "id int, posted_date string").withColumn("day", F.lit("clash"))
+    assert sorted(r["id"] for r in projection.month_rows(raw, "2025-03").collect()) == [1, 2, 3, 6, 7, 8]
+    assert sorted(r["month"] for r in projection.months(raw).collect()) == ["2025-03", "2025-04"]
+
+
 def test_projection_window_balances_export(spark, tmp_path):
     raw = spark.createDataFrame([(1, "A-1", "Bank", "corner  shop", "2025-01-05", -150), (2, "A-1", None, "Corner Shop", "2025-01-06", 250), (3, "A-1", "", None, "2025-02-01", -100)], "id int, account_id string, institution string, raw_payee string, posted_date string, amount_cents bigint")
     mapping = spark.createDataFrame([("ACCT-1", "ACCT", "A-1", None), ("INST-1", "INST", "Bank", None), ("PAYEE-1", "PAYEE", "Corner", "PAYEE-2"), ("PAYEE-2", "PAYEE", "Shop", None)], MAP)
@@ -246,7 +295,7 @@ def test_near_links_are_all_pairs_of_the_ratio(spark):
             for _ in range(r.randint(0, 4)):
                 w[r.randrange(len(w))] = r.choice(("", "A", "R", "TE"))
             words.add("".join(w) or "X")
-    got = {frozenset(x) for x in resolve.near_links(spark.createDataFrame([(w,) for w in words], "token string")).collect()}
+    got = {frozenset((x["short"], x["long"])) for x in resolve.near_links(spark.createDataFrame([(w,) for w in words], "token string")).collect()}
     want = {frozenset((a, b)) for a in words for b in words if a != b and (resolve.similarity(a, b) >= 0.86 or resolve.similarity(b, a) >= 0.86)}
     assert got == want and len(want) > 60
     assert {frozenset(("STARBUCKS", "STRBCKS")), frozenset(("MARKT", "MARKET"))} <= got
