@@ -77,8 +77,12 @@ def p8_packed(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(with_tokens(read_table(spark, d, "documents"), ["doc_id"]))
 
 
+#: Weight at the begin and the end of training of the sources that don't stay level.
+SCHEDULE = {"support_chat": (1.4, 0.6), "policy_page": (0.6, 1.4), "audit_log": (0.5, 1.5)}
+
+
 def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return mixing.mix(with_tokens(read_table(spark, d, "documents"), ["doc_id", "source"]), read_table(spark, d, "mix_targets"))
+    return mixing.mix(with_tokens(read_table(spark, d, "documents"), ["doc_id", "source"]), read_table(spark, d, "mix_targets"), SCHEDULE)
 
 
 def p9_mixed(spark: SparkSession, d: str) -> DataFrame:
