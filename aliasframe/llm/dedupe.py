@@ -1,13 +1,13 @@
-"""New batches against all history: repeats found inside buckets of hashes, never by reading history again.
-
-A record's paragraphs are its account, its amount, its payee (in any spelling) and its posting day. Rows
-are bucketed by the hash of account and amount. A full copy has equal hashes of all four; a changed one
-covers the first three and lies at most ``days`` apart. Rows fall into sessions, runs of days of one
-account and amount without a gap above ``days``: no repeat crosses a session, so sessions are
-independent, and those of a single batch leave the plan before any payee is read. Inside a session equal
-payees are gathered under one entity, rows of one day and batch are one unit (they stand or fall
-together), and one streaming pass per entity takes the units batch by batch: a unit repeats the first
-accepted one of an earlier batch within ``days``, or is accepted and appended.
+"""New batches against all history: repeats found by hashes inside buckets, never by reading history again.
+
+A record's paragraphs are its account, its amount, its payee (in any spelling) and its posting day. ``key`` hashes
+the first two, ``content`` all four. Accepted rows stand in a table bucketed by ``key``; a batch meets it in a semi-join
+inside its buckets. A full copy has an equal ``content``; a changed one covers the first three paragraphs and lies at most
+``days`` apart. Rows fall into sessions, runs of days of one key without a gap above ``days``: no repeat crosses a
+session, so sessions are independent, and those of a single batch leave the plan before any payee is read.
+Inside a session rows of equal content are one spelling and need no comparison; what differs is gathered under one entity. Rows of
+one day, batch and entity are one unit (they stand or fall together), and one streaming pass per entity takes the units batch by
+batch: a unit repeats the first accepted one of an earlier batch within ``days``, or is accepted, and its hashes are appended.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from .pii import without_contacts
 DAYS, BUCKETS = 3, 64
 #: Up to so many spellings of one session are compared pairwise in place; more go through equal rewritings, by the same rule.
 FEW = 24
-KEY = ["account_id", "amount_cents", "session"]
+KEY = ["key", "session"]
 
 
 def prepare(transactions: DataFrame, institutions: DataFrame) -> DataFrame:
@@ -40,19 +40,23 @@ def prepare(transactions: DataFrame, institutions: DataFrame) -> DataFrame:
     return rows.where(F.col("account_id").isNotNull() & F.col("amount_cents").isNotNull() & F.col("batch_id").isNotNull() & F.col("day").isNotNull() & (F.col("payee") != ""))
 
 
+def hashed(rows: DataFrame) -> DataFrame:
+    """``id, key, content, payee, batch_id, day`` of rows as from :func:`prepare`; 64-bit hashes take the place of account and amount."""
+    return rows.select("id", F.xxhash64("account_id", "amount_cents").alias("key"), F.xxhash64("account_id", "amount_cents", "day", "payee").alias("content"), "payee", "batch_id", "day")
+
+
 def in_sessions(rows: DataFrame, days: int = DAYS) -> DataFrame:
     """The rows of sessions with more than one batch, with ``session``, the session's first day.
 
-    The windows run over the distinct days of an account and amount, so a group however large is
-    combined before the shuffle to one row per day.
+    The windows run over the distinct days of a key, so a group however large is combined before the shuffle to one row per day.
     """
-    daily = rows.groupBy("account_id", "amount_cents", "day").agg(F.min("batch_id").alias("least"), F.max("batch_id").alias("most"))
-    by_day = Window.partitionBy("account_id", "amount_cents").orderBy("day")
+    daily = rows.groupBy("key", "day").agg(F.min("batch_id").alias("least"), F.max("batch_id").alias("most"))
+    by_day = Window.partitionBy("key").orderBy("day")
     starts = F.when(F.coalesce(F.col("day") - F.lag("day").over(by_day) > days, F.lit(True)), F.col("day"))
     runs = daily.withColumn("start", starts).withColumn("session", F.last("start", ignorenulls=True).over(by_day.rowsBetween(Window.unboundedPreceding, 0)))
     whole = Window.partitionBy(*KEY)
     mixed = runs.withColumn("a", F.min("least").over(whole)).withColumn("b", F.max("most").over(whole)).where(F.col("a") < F.col("b"))
-    return rows.join(mixed.select("account_id", "amount_cents", "day", "session"), ["account_id", "amount_cents", "day"])
+    return rows.join(mixed.select("key", "day", "session"), ["key", "day"])
 
 
 def _label(names: list[str]) -> list[str]:
@@ -68,8 +72,8 @@ def _label(names: list[str]) -> list[str]:
     return [n if k is None else least[label[k]] for n, k in zip(names, cores, strict=True)]
 
 
-_ENTITY = pa.schema([("account_id", pa.string()), ("amount_cents", pa.int64()), ("session", pa.int32()), ("payee", pa.string()), ("entity", pa.string())])
-_ENTITY_DDL = "account_id string, amount_cents bigint, session int, payee string, entity string"
+_ENTITY = pa.schema([("key", pa.int64()), ("session", pa.int32()), ("payee", pa.string()), ("entity", pa.string())])
+_ENTITY_DDL = "key bigint, session int, payee string, entity string"
 
 
 def _entity_batches(batches):
@@ -82,7 +86,7 @@ def _entity_batches(batches):
 
     for batch in batches:
         out = []
-        for *key, payee in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+        for *key, payee in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             if key != current:
                 if names:
                     out += flush()
@@ -105,22 +109,22 @@ def _core_of_payee(batches):
 
 
 def entities(spellings: DataFrame) -> DataFrame:
-    """``account_id, amount_cents, session, payee, entity`` for the distinct spellings of each session."""
+    """``key, session, payee, entity`` for the distinct spellings of each session."""
     named = spellings.select(*KEY, "payee").distinct().repartition(F.xxhash64(*KEY)).sortWithinPartitions(*KEY, "payee")
     got = checkpoint(named.mapInArrow(_entity_batches, _ENTITY_DDL))
     many = got.where(F.col("entity").isNull())
     if many.isEmpty():
         return got
     group = F.xxhash64(*KEY).cast("string")
-    cored = checkpoint(many.select(*KEY, "payee").mapInArrow(_core_of_payee, "account_id string, amount_cents bigint, session int, payee string, core string").withColumn("grp", group))
+    cored = checkpoint(many.select(*KEY, "payee").mapInArrow(_core_of_payee, "key bigint, session int, payee string, core string").withColumn("grp", group))
     found = core_entities(cored.where(F.col("core").isNotNull()).select("core", "grp"))
     node = F.when(F.col("core").isNotNull(), F.concat_ws("\x1f", "grp", "core"))
     done = cored.join(found, node == F.col("node"), "left").select(*KEY, "payee", F.coalesce("label", node, F.col("payee")).alias("entity"))
     return got.where(F.col("entity").isNotNull()).unionByName(done)
 
 
-_FOLD = "account_id string, amount_cents bigint, session int, entity string, day int, batch_id bigint, first_id bigint"
-_FOLD_ARROW = pa.schema([("account_id", pa.string()), ("amount_cents", pa.int64()), ("session", pa.int32()), ("entity", pa.string()), ("day", pa.int32()), ("batch_id", pa.int64()), ("first_id", pa.int64())])
+_FOLD = "key bigint, session int, entity bigint, day int, batch_id bigint, first_id bigint"
+_FOLD_ARROW = pa.schema([("key", pa.int64()), ("session", pa.int32()), ("entity", pa.int64()), ("day", pa.int32()), ("batch_id", pa.int64()), ("first_id", pa.int64())])
 
 
 def _fold_batches(days: int):
@@ -142,52 +146,63 @@ def _fold_batches(days: int):
     return run
 
 
+def _repeats(rows: DataFrame, days: int) -> DataFrame:
+    """``first_id, id`` among hashed rows."""
+    near = checkpoint(in_sessions(rows, days))
+    known = entities(near).select(*KEY, F.xxhash64("payee").alias("spelling"), F.xxhash64("entity").alias("entity"))
+    tagged = checkpoint(near.select("id", *KEY, F.xxhash64("payee").alias("spelling"), "day", "batch_id").join(known, [*KEY, "spelling"]).drop("spelling"))
+    units = tagged.groupBy(*KEY, "entity", "day", "batch_id").agg(F.min("id").alias("least_id"))
+    folded = units.repartition(F.xxhash64(*KEY, "entity")).sortWithinPartitions(*KEY, "entity", "batch_id", "least_id").mapInArrow(_fold_batches(days), _FOLD)
+    return tagged.join(folded, [*KEY, "entity", "day", "batch_id"]).select("first_id", "id").distinct()
+
+
 def repeats(rows: DataFrame, days: int = DAYS) -> DataFrame:
     """``first_id, id`` for each row that repeats an accepted row of an earlier batch (see the module's text).
 
     ``rows`` as from :func:`prepare`, in any number of batches. Rows of one batch never repeat each other.
     Of several accepted rows in reach the lowest id is named. Rows standing twice with one id give one pair.
     """
-    near = checkpoint(in_sessions(checkpoint(rows), days))
-    known = entities(near)
-    tagged = checkpoint(near.join(known, [*KEY, "payee"]).select("id", *KEY, "entity", "day", "batch_id"))
-    units = tagged.groupBy(*KEY, "entity", "day", "batch_id").agg(F.min("id").alias("least_id"))
-    folded = units.repartition(F.xxhash64(*KEY, "entity")).sortWithinPartitions(*KEY, "entity", "batch_id", "least_id").mapInArrow(_fold_batches(days), _FOLD)
-    return tagged.join(folded, [*KEY, "entity", "day", "batch_id"]).select("first_id", "id").distinct()
+    return _repeats(checkpoint(hashed(rows)), days)
 
 
 class History:
-    """Accepted rows in a written table, bucketed by the hash of account and amount.
+    """Hashes of the accepted rows in a written table, bucketed by the hash of account and amount.
 
-    ``admit`` takes one batch: it reads the buckets the batch falls into, of these only rows that share account
-    and amount with it (a semi-join inside the bucket), decides, and appends what it accepts. The time
-    for a batch depends on the batch and its buckets, not on the batches before.
+    ``admit`` takes a delivery of one batch or several: it reads the buckets the delivery falls into, of these only rows that share a key
+    with it (a semi-join inside the bucket), decides batch by batch, and appends what it accepts. The time
+    for a delivery depends on it and its buckets, not on the deliveries before. A batch delivered later must have a higher number.
     """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS, days: int = DAYS):
         self.spark, self.path, self.buckets, self.days = spark, path, buckets, days
 
     def _bucket(self):
-        return F.pmod(F.xxhash64("account_id", "amount_cents"), F.lit(self.buckets)).cast("int")
+        return F.pmod(F.col("key"), F.lit(self.buckets)).cast("int")
 
-    def _stored(self) -> DataFrame | None:
+    def accepted(self) -> DataFrame | None:
+        """``id, key, content, payee, batch_id, day, bucket`` of all accepted rows; None before the first delivery."""
         jvm = self.spark._jvm
         place = jvm.org.apache.hadoop.fs.Path(self.path)
         if not place.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(place):
             return None
         return self.spark.read.parquet(self.path)
 
-    def admit(self, batch: DataFrame) -> DataFrame:
-        """``first_id, id`` of the batch's repeats; its other rows (as from :func:`prepare`) are appended."""
-        new = checkpoint(batch.withColumn("bucket", self._bucket()).withColumn("content", F.xxhash64("account_id", "amount_cents", "day", "payee")))
-        stored, rows = self._stored(), new
+    def admit(self, delivery: DataFrame) -> DataFrame:
+        """``first_id, id`` of the delivery's repeats; its other rows (as from :func:`prepare`) are appended."""
+        new = checkpoint(hashed(delivery))
+        stored, rows = self.accepted(), new
         if stored is not None:
-            touched = [r[0] for r in new.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
-            old = stored.where(F.col("bucket").isin(touched)).join(new.select("bucket", "account_id", "amount_cents").distinct(), ["bucket", "account_id", "amount_cents"], "left_semi")
+            placed = new.withColumn("bucket", self._bucket())
+            touched = [r[0] for r in placed.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+            old = stored.where(F.col("bucket").isin(touched)).join(placed.select("bucket", "key").distinct(), ["bucket", "key"], "left_semi")
             rows = new.unionByName(old.select(*new.columns))
-        found = checkpoint(repeats(rows.drop("bucket", "content"), self.days).join(new.select("id"), "id", "left_semi"))
-        new.join(found.select("id"), "id", "left_anti").write.mode("append").partitionBy("bucket").parquet(self.path)
+        found = _repeats(rows, self.days)
+        if stored is not None:
+            found = found.join(new.select("id"), "id", "left_semi")
+        found = checkpoint(found)
+        kept = new.join(found.select("id"), "id", "left_anti").withColumn("bucket", self._bucket())
+        kept.repartition(self.buckets, "bucket").write.mode("append").partitionBy("bucket").parquet(self.path)
         return found.select("first_id", "id")
 
 
-__all__ = ["Core", "History", "entities", "in_sessions", "prepare", "repeats"]
+__all__ = ["Core", "History", "entities", "hashed", "in_sessions", "prepare", "repeats"]

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.records import parse_lines
-from ..session import read_table
+from ..session import checkpoint, ensure_checkpoint_dir, read_table
 from . import dedupe, encoding, mixing, names, packing, pii, splitting
 from .tokens import with_tokens
 
@@ -64,8 +66,23 @@ def p5_entities(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """The whole table as one delivery of all its batches to an empty history."""
     rows = dedupe.prepare(read_table(spark, d, "raw_transactions"), read_table(spark, d, "institutions"))
-    return dedupe.repeats(rows).select(F.col("first_id").alias("id_a"), F.col("id").alias("id_b"))
+    history = dedupe.History(spark, f"{ensure_checkpoint_dir(spark)}/history-{uuid.uuid4().hex}")
+    return history.admit(rows).select(F.col("first_id").alias("id_a"), F.col("id").alias("id_b"))
+
+
+def p7_history(spark: SparkSession, d: str) -> DataFrame:
+    """The same pairs, delivered in four parts to a history on disk: each part reads only the buckets and keys it falls into."""
+    rows = checkpoint(dedupe.prepare(read_table(spark, d, "raw_transactions"), read_table(spark, d, "institutions")))
+    history, out = dedupe.History(spark, f"{ensure_checkpoint_dir(spark)}/history-{uuid.uuid4().hex}"), None
+    cuts = rows.agg(F.percentile_approx("batch_id", [0.25, 0.5, 0.75]).alias("c")).first()["c"] or []
+    bounds = [None, *sorted(set(cuts)), None]
+    for low, high in zip(bounds, bounds[1:], strict=False):
+        part = rows if low is None else rows.where(F.col("batch_id") > low)
+        found = history.admit(part if high is None else part.where(F.col("batch_id") <= high))
+        out = found if out is None else out.unionByName(found)
+    return out.select(F.col("first_id").alias("id_a"), F.col("id").alias("id_b"))
 
 
 def p7_accepted(spark: SparkSession, d: str) -> DataFrame:
@@ -101,7 +118,7 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_documents(read_table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p4_found, p4_restored, p5_found, p5_entities, p7_found, p7_accepted, p8_packed, p9_mixed, p9_shares, p10_found, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p4_found, p4_restored, p5_found, p5_entities, p7_found, p7_history, p7_accepted, p8_packed, p9_mixed, p9_shares, p10_found, p10_pieces)}
 
 SQL = {
     "p10_found": r"""
