@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from difflib import SequenceMatcher
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,6 +24,9 @@ from ..functions.amounts import number_kind
 from .records import FIELDS, header_names, headers, parse_lines, typed_records
 
 ADD, DELETE, RENAME, RETYPE, FORBIDDEN = 1.0, 1.0, 0.4, 0.2, 1e6
+#: Cost of two labels without a letter in common, and of two types where the labels alone have to say that two columns are one. A new label is a
+#: rename while both labels are like enough: 0.4 + 5.3 x (1 - likeness) below the cost of a removal and an addition, so from a likeness of 0.7 on.
+UNLIKE, OTHER_KIND = 5.3, 0.8
 
 
 @dataclass
@@ -33,7 +37,7 @@ class Node:
     label: str = ""
     kind: str | None = None
     children: list[Node] = field(default_factory=list)
-    fixed: bool = True  # the name is certain: it never becomes another name
+    fixed: bool = True  # the name is certain: it never becomes another certain name
 
 
 @dataclass(frozen=True)
@@ -60,13 +64,23 @@ def _weight(n: Node) -> float:
 
 
 def _pair_cost(a: Node, b: Node) -> tuple[float, list[tuple[Node | None, Node | None]]]:
-    if a.name != b.name and a.fixed and b.fixed:
-        return FORBIDDEN, []
-    cost = RENAME * (a.label != b.label or a.name != b.name) + RETYPE * (a.kind != b.kind and None not in (a.kind, b.kind))
+    other = a.kind != b.kind and None not in (a.kind, b.kind)
+    if a.name != b.name:
+        if a.fixed and b.fixed:
+            return FORBIDDEN, []
+        cost = RENAME + UNLIKE * (1 - likeness(a.label, b.label)) + OTHER_KIND * other
+    else:
+        cost = RENAME * (a.label != b.label) + RETYPE * other
     below, pairs = match(a.children, b.children)
     return cost + below, [(a, b), *pairs]
 
 
+def likeness(a: str, b: str) -> float:
+    """Share of letters that two labels have in common, in order or, word by word, in any order."""
+    plain = SequenceMatcher(None, a, b).ratio()
+    return max(plain, SequenceMatcher(None, " ".join(sorted(a.split())), " ".join(sorted(b.split()))).ratio())
+
+
 def match(old: list[Node], new: list[Node]) -> tuple[float, list[tuple[Node | None, Node | None]]]:
     """Least cost of turning the children ``old`` into ``new`` in any order, with the pairs of the script."""
     cost, pairs, left, right = 0.0, [], list(old), []
@@ -158,10 +172,11 @@ def edit_script(old: Node, new: Node) -> tuple[float, list[Change]]:
             out.append(Change(where[id(b)], "moved", where[id(same)], where[id(b)]))
     for a, b in pairs:
         if a is not None and b is not None and id(b) in where:
+            at = where[id(a)] if a.fixed and not b.fixed and id(a) in where else where[id(b)]  # a certain name stands for both
             if a.label != b.label or a.name != b.name:
-                out.append(Change(where[id(b)], "renamed", a.label, b.label))
+                out.append(Change(at, "renamed", a.label, b.label))
             if a.kind != b.kind and None not in (a.kind, b.kind):
-                out.append(Change(where[id(b)], "retyped", a.kind, b.kind))
+                out.append(Change(at, "retyped", a.kind, b.kind))
     out += [Change(where[id(a)], "removed", a.label, None) for a in gone] + [Change(where[id(b)], "added", None, b.label) for b in come]
     return cost, sorted(out, key=lambda c: (c.path, c.kind))
 
@@ -178,8 +193,8 @@ def compile_projection(table: Iterable[str], file_tree: Node) -> dict[str, int |
 
 
 def file_tree(header: str, kinds: dict[int, str] | None = None) -> Node:
-    """Flat tree of one file; a column known by a field's label, or by no field's, keeps its name."""
-    return Node("", children=[Node(n, label, (kinds or {}).get(i)) for i, (n, label) in enumerate(header_names(header))])
+    """Flat tree of one file. A column known by a field's label has that field's name for certain; any other has its own label, which may change."""
+    return Node("", children=[Node(n, label, (kinds or {}).get(i), fixed=n in FIELDS) for i, (n, label) in enumerate(header_names(header))])
 
 
 def column_kinds(records: DataFrame) -> DataFrame:

@@ -126,8 +126,18 @@ def test_edit_scripts_of_nested_schemas():
     cost, script = D.edit_script(D.tree_of(a), D.tree_of(b))
     assert {(c.path, c.kind) for c in script} == {("age", "moved"), ("id", "retyped"), ("tags", "removed"), ("tags.element", "removed"), ("new", "added")}
     assert cost > 0 and D.edit_script(D.tree_of(a), D.tree_of(a)) == (0.0, [])
-    old, new = D.Node("", children=[D.Node("amount", "betrag", "decimal", fixed=False)]), D.Node("", children=[D.Node("umsatz", "umsatz", "decimal", fixed=False)])
+    old, new = D.Node("", children=[D.Node("amount", "betrag", "decimal", fixed=False)]), D.Node("", children=[D.Node("betrag eur", "betrag eur", "decimal", fixed=False)])
     assert [c.kind for c in D.edit_script(old, new)[1]] == ["renamed"]
+    free = lambda *labels: D.Node("", children=[D.Node(x, x, k, fixed=False) for x, k in labels])
+    got = D.edit_script(free(("posted by", "text"), ("fx rate", "decimal"), ("branch code", "text")), free(("code branch", "text"), ("poster by", "text"), ("check no", "whole")))[1]
+    assert {(c.path, c.kind) for c in got} == {("poster by", "renamed"), ("code branch", "renamed"), ("fx rate", "removed"), ("check no", "added")}
+
+
+def test_a_label_outside_the_dictionary_that_is_like_a_field_is_a_rename():
+    old, new = D.file_tree("Date,Description,Amount,Balance"), D.file_tree("Date,Descriptions,Amount,Closing Balance,Branch")
+    assert {(c.path, c.kind) for c in D.edit_script(old, new)[1]} == {("description", "renamed"), ("balance", "removed"), ("closing balance", "added"), ("branch", "added")}
+    assert {(c.path, c.kind) for c in D.edit_script(D.file_tree("Date,Description,Amount,Posted By"), D.file_tree("Date,Description,Amount,Poster By"))[1]} == {("poster by", "renamed")}
+    assert D.compile_projection(("date", "description", "amount", "balance"), D.file_tree("Descriptions,Date,Amount,Branch")) == {"date": 1, "description": 0, "amount": 2, "balance": None}
 
 
 def test_changes_between_files(spark):
