@@ -1,14 +1,15 @@
 """Text decoded with the wrong character encoding: the shortest description tells the original.
 
 Candidates for a text are all chains of "write the characters in one code page, read the bytes in another",
-up to three steps long. Every candidate is compressed with a zstandard dictionary per language; its
-description length is the compressed size, an escape for each character that is foreign to the
-language, and the cost of the chain. The shortest description wins; if that is the text as it stands, it
-is left unchanged. Damage that no chain undoes (lost bytes, replacement marks) is reported without a repair.
+up to three steps long. Every candidate is compressed with a zstandard dictionary per language, trained here on
+phrases made of the language's words; its description length is the compressed size, an escape for each character that is foreign to the
+language, and the cost of the chain. One more candidate says that letters were lost: the text without its foreign runs, at a cost for each run. The
+shortest description wins. If that is the text as it stands, it is left unchanged; if letters were lost, it is reported without a repair.
 """
 
 from __future__ import annotations
 
+import random
 import re
 import unicodedata
 from functools import lru_cache
@@ -19,8 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bits of a chain's step (reading UTF-8 as a one-byte page, a page as another, losing an invisible mark), of a
-#: letter of a neighbouring language, of any other foreign character, and of two scripts meeting inside a word. Later pages cost a little more.
+#: letter of a neighbouring language, of any other foreign character, and of a mark inside a word. Later pages cost a little more.
 STEP_UTF8, STEP_PAGE, STEP_LOST, NEAR, ESCAPE, MIXED = 10.0, 14.0, 4.0, 3.0, 14.0, 14.0
+#: Bits of a run of letters that was lost, of a sign that stands by itself, as signs do, and of two scripts meeting inside a word.
+LOST, ALONE, SCRIPTS = 40.0, 2.0, 30.0
+#: Phrases a dictionary is trained on, its size in bytes, and the seed.
+PHRASES, DICTIONARY, SEED = 4000, 4096, 5
 MOST_STEPS = 3
 
 #: The pages text is wrongly read in; the second part is read in place of the first.
@@ -43,25 +48,23 @@ LANGUAGES: dict[str, tuple[str, str]] = {
     "el": ("αβγδεζηθικλμνξοπρσςτυφχψωάέήίόύώϊϋ", "Καφές Ελιά Φούρνος Ταβέρνα Φαρμακείο Βιβλιοπωλείο Αθήνα Θάλασσα"),
 }
 _COMMON = frozenset("’‘“”–—…€£")
-_SUSPECT = re.compile("[^\x00-\x7f]")
 _CONTROL = re.compile("[\x80-\x9f]")
-#: Shapes that no writing makes: box drawing and mathematics between letters, and the lead bytes of
-#: UTF-8 before a mark that cannot follow a letter.
-_BOXES = re.compile("[─-╿▀-▟]|[√∂∫≈≠≤≥∏∑π⌠⌡Ω◊]")
 _MARK_INSIDE = re.compile("(?<=[^\\W\\d_])[‘“”„‚‹›–—…†‡•·°¨´¯¸ˆ˜º¬«»](?=[^\\W\\d_])")
 _HOLE = re.compile("Ã(?: |(?=[A-Za-z]))")
-_LATE_CAPITAL = re.compile("[a-zà-ÿ]Ã")
-_LEAD_MARK = re.compile("[ÃÂÄÅâГРСÎÐÑÐ├┬┼╨╤√][\x80-\xbf‚ƒ„…†‡ˆ‰Š‹Œ‘’“”•–—˜™š›œžŸ¡-¿]")
+#: Runs that may stand for lost letters: controls, replacement marks, signs that touch a letter, and lead bytes of UTF-8 with what follows them.
+_RUN = re.compile("[\x80-\x9f\ufffd]+|(?<=[^\\W\\d_])[^\\w\\s\x00-\x7f]+|[^\\w\\s\x00-\x7f]+(?=[^\\W\\d_])|(?:[ÃÂÄÅâГРСÎÐÑ├┬┼╨╤√][^\x00-\x7f]|(?<=[a-zà-ÿ])Ã)[^\x00-\x7fa-zA-Z]*|[\u0370-\u03ff\u2200-\u23ff]")
 
 
 @lru_cache(1)
 def dictionaries() -> dict[str, tuple[zstandard.ZstdCompressor, frozenset[str], int]]:
-    """Per language: a compressor primed with its words in three casings, its letters, and an empty frame's size."""
+    """Per language: a compressor with a trained dictionary, its letters, and an empty frame's size."""
     out = {}
     for name, (letters, words) in LANGUAGES.items():
-        text = " ".join([words.upper(), words.lower(), words])
-        primed = zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        code = zstandard.ZstdCompressor(level=5, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False)
+        r, held = random.Random(SEED), words.split()
+        phrases = [" ".join(r.choice(held) for _ in range(r.randint(1, 5))) for _ in range(PHRASES)]
+        phrases = [r.choice((p, p.upper(), p.lower())).encode() for p in phrases]
+        trained = zstandard.train_dictionary(DICTIONARY, phrases, level=5)
+        code = zstandard.ZstdCompressor(level=5, dict_data=trained, write_content_size=False, write_checksum=False, write_dict_id=False)
         out[name] = code, frozenset(letters) | frozenset(letters.upper()) | _COMMON, len(code.compress(b""))
     return out
 
@@ -69,20 +72,16 @@ def dictionaries() -> dict[str, tuple[zstandard.ZstdCompressor, frozenset[str],
 @lru_cache(100_000)
 def _length(text: str) -> tuple[float, str]:
     """Description length of a text in bits, and the language that gives it."""
-    foreign = [c for c in text if ord(c) > 127]
-    known = _latin()
-    costs = sorted((sum(0.0 if c in letters else NEAR if c in known else ESCAPE + _oddity(c) for c in foreign), name) for name, (_, letters, _) in dictionaries().items())
+    known, foreign = _latin(), [(c, text[max(i - 1, 0) : i].isalpha() or text[i + 1 : i + 2].isalpha()) for i, c in enumerate(text) if ord(c) > 127]
     data, best = text.encode("utf-8", "surrogatepass"), (float("inf"), "")
-    for cost, name in costs:
-        if cost > costs[0][0] + ESCAPE:  # the letters of the rest are too far off
-            break
-        code, _, empty = dictionaries()[name]
-        best = min(best, (8.0 * (len(code.compress(data)) - empty) + cost, name))
-    scripts = [0 if c < "\u0370" else 1 if c < "\u0400" else 2 if c < "\u0530" else 3 for c in text if c.isalpha() or c == " "]
-    mixed = sum(x != y for x, y in zip(scripts, scripts[1:], strict=False)) if any(scripts) else 0
-    words = sum(any("\u0370" <= c < "\u0530" for c in w) for w in text.split())
+    for name, (code, letters, empty) in dictionaries().items():
+        cost = sum(0.0 if c in letters else NEAR if c in known else _foreign(c, touches) for c, touches in foreign)
+        if cost < best[0]:  # the compressed size only adds to it
+            best = min(best, (8.0 * (len(code.compress(data)) - empty) + cost, name))
+    scripts = [0 if c < "\u0370" else 1 if c < "\u0400" else 2 if c < "\u0530" else 3 if c.isalpha() else -1 for c in text] if foreign else []
+    mixed = sum(x != y and -1 not in (x, y) and a.isalpha() and b.isalpha() for x, y, a, b in zip(scripts, scripts[1:], text, text[1:], strict=False)) if any(scripts) else 0
     marks = len(_MARK_INSIDE.findall(text))
-    return best[0] + MIXED * (max(0, mixed - 2 * words) + marks), best[1]
+    return best[0] + SCRIPTS * mixed + MIXED * marks, best[1]
 
 
 @lru_cache(1)
@@ -91,6 +90,11 @@ def _latin() -> frozenset[str]:
     return frozenset(c for _, letters, _ in dictionaries().values() for c in letters if c.isalpha() and c < "\u0250")
 
 
+def _foreign(c: str, touches: bool) -> float:
+    """Bits of a character that no language here writes; a sign beside a letter costs more than one by itself."""
+    return ALONE if not touches and unicodedata.category(c)[0] == "S" and c != "\ufffd" else ESCAPE + _oddity(c)
+
+
 def _oddity(c: str) -> float:
     """Further bits for characters that hardly stand in names: controls, boxes, signs."""
     kind = unicodedata.category(c)
@@ -152,8 +156,10 @@ def candidates(text: str) -> dict[str, tuple[float, tuple[str, ...]]]:
     return found
 
 
-def _lossy(text: str) -> bool:
-    return "�" in text or bool(_CONTROL.search(text)) or bool(_BOXES.search(text)) or bool(_LEAD_MARK.search(text)) or bool(_LATE_CAPITAL.search(text))
+def _without_lost(text: str) -> tuple[str, float]:
+    """The text without the runs that may stand for lost letters, and what leaving them out costs."""
+    runs = _RUN.findall(text)
+    return _RUN.sub("", text), LOST * len(runs) if runs else float("inf")
 
 
 @lru_cache(100_000)
@@ -167,9 +173,10 @@ def repair(text: str) -> tuple[str | None, bool, str]:
         return None, False, ""
     best = min((_length(t)[0] + cost, len(chain), t, chain) for t, (cost, chain) in candidates(text).items())
     restored, chain = best[2], best[3]
-    if chain and "�" not in restored and not _CONTROL.search(restored):
-        return restored, True, "; ".join(reversed(chain))
-    return None, _lossy(text), ""
+    if chain:
+        return (None, True, "") if "\ufffd" in restored or _CONTROL.search(restored) else (restored, True, "; ".join(reversed(chain)))
+    plain, cost = _without_lost(text)
+    return None, cost + _length(plain)[0] < best[0], ""
 
 
 _OUT = "text string, restored string, damaged boolean, chain string"

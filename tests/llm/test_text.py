@@ -130,7 +130,8 @@ def test_every_damage_is_found_and_mended():
     twice = "Crème Été".encode().decode("cp1252").encode().decode("cp1252")
     assert encoding.repair(twice)[0] == "Crème Été"
     assert encoding.repair("J�rgensens") == (None, True, "")
-    for fine in ("MAÇÃ VERDE FRUTAS", "PÂTE À PAIN", "IRMÃ LUZ LAR", "deposit €40 – balance", "cuota nº3 colegio", "", "plain"):
+    assert encoding.repair("CafΘ LumiΦre")[0] == "Café Lumière" and encoding.repair("Jard√≠n")[0] == "Jardín"
+    for fine in ("MAÇÃ VERDE FRUTAS", "PÂTE À PAIN", "IRMÃ LUZ LAR", "deposit €40 – balance", "cuota nº3 colegio", "", "plain", "√ done", "Ω resistor shop", "5 ≤ 7 items", "price ∑ total", "™ brand", "Καφές Ελιά", "Café ☕"):
         assert encoding.repair(fine)[1] is False, fine
     assert encoding.repair(None) == (None, False, "")
 
