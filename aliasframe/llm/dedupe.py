@@ -13,12 +13,12 @@ batch: a unit repeats the first accepted one of an earlier batch within ``days``
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators.timestamps import to_utc
-from ..session import checkpoint
+from ..session import checkpoint, written
 from .names import Core, group_entities, read_name
 from .names import entities as core_entities
 from .pii import without_contacts
@@ -41,8 +41,12 @@ def prepare(transactions: DataFrame, institutions: DataFrame) -> DataFrame:
 
 
 def hashed(rows: DataFrame) -> DataFrame:
-    """``id, key, content, payee, batch_id, day`` of rows as from :func:`prepare`; 64-bit hashes take the place of account and amount."""
-    return rows.select("id", F.xxhash64("account_id", "amount_cents").alias("key"), F.xxhash64("account_id", "amount_cents", "day", "payee").alias("content"), "payee", "batch_id", "day")
+    """``id, key, payee, batch_id, day`` of rows as from :func:`prepare`; a 64-bit hash takes the place of account and amount."""
+    return rows.select("id", F.xxhash64("account_id", "amount_cents").alias("key"), "payee", "batch_id", "day")
+
+
+def _content() -> Column:
+    return F.xxhash64("key", "day", "payee")
 
 
 def in_sessions(rows: DataFrame, days: int = DAYS) -> DataFrame:
@@ -76,30 +80,34 @@ _ENTITY = pa.schema([("key", pa.int64()), ("session", pa.int32()), ("payee", pa.
 _ENTITY_DDL = "key bigint, session int, payee string, entity string"
 
 
-def _entity_batches(batches):
-    """Sorted (key, payee) rows -> the same with ``entity``; null where a session has more than ``FEW`` payees."""
-    current, names, many = None, [], False
+def _entity_batches(few: int):
+    """Sorted (key, payee) rows -> the same with ``entity``; null where a session has more than ``few`` payees."""
+
+    def run(batches):
+        current, names, many = None, [], False
 
-    def flush():
-        got = [None] * len(names) if many else _label(names)
-        return [(*current, n, e) for n, e in zip(names, got, strict=True)]
+        def flush():
+            got = [None] * len(names) if many else _label(names)
+            return [(*current, n, e) for n, e in zip(names, got, strict=True)]
 
-    for batch in batches:
-        out = []
-        for *key, payee in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            if key != current:
-                if names:
+        for batch in batches:
+            out = []
+            for *key, payee in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if key != current:
+                    if names:
+                        out += flush()
+                    current, names, many = key, [], False
+                names.append(payee)
+                if many or len(names) > few:
+                    many = True
                     out += flush()
-                current, names, many = key, [], False
-            names.append(payee)
-            if many or len(names) > FEW:
-                many = True
-                out += flush()
-                names = []
-        if out:
+                    names = []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _ENTITY.types, strict=True)], schema=_ENTITY)
+        if names and (out := flush()):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _ENTITY.types, strict=True)], schema=_ENTITY)
-    if names and (out := flush()):
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _ENTITY.types, strict=True)], schema=_ENTITY)
+
+    return run
 
 
 def _core_of_payee(batches):
@@ -108,10 +116,10 @@ def _core_of_payee(batches):
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cores, pa.string())], names=[*batch.schema.names, "core"])
 
 
-def entities(spellings: DataFrame) -> DataFrame:
+def entities(spellings: DataFrame, few: int = FEW) -> DataFrame:
     """``key, session, payee, entity`` for the distinct spellings of each session."""
     named = spellings.select(*KEY, "payee").distinct().repartition(F.xxhash64(*KEY)).sortWithinPartitions(*KEY, "payee")
-    got = checkpoint(named.mapInArrow(_entity_batches, _ENTITY_DDL))
+    got = checkpoint(named.mapInArrow(_entity_batches(few), _ENTITY_DDL))
     many = got.where(F.col("entity").isNull())
     if many.isEmpty():
         return got
@@ -146,23 +154,23 @@ def _fold_batches(days: int):
     return run
 
 
-def _repeats(rows: DataFrame, days: int) -> DataFrame:
+def _repeats(rows: DataFrame, days: int, few: int = FEW) -> DataFrame:
     """``first_id, id`` among hashed rows."""
     near = checkpoint(in_sessions(rows, days))
-    known = entities(near).select(*KEY, F.xxhash64("payee").alias("spelling"), F.xxhash64("entity").alias("entity"))
+    known = entities(near, few).select(*KEY, F.xxhash64("payee").alias("spelling"), F.xxhash64("entity").alias("entity"))
     tagged = checkpoint(near.select("id", *KEY, F.xxhash64("payee").alias("spelling"), "day", "batch_id").join(known, [*KEY, "spelling"]).drop("spelling"))
     units = tagged.groupBy(*KEY, "entity", "day", "batch_id").agg(F.min("id").alias("least_id"))
     folded = units.repartition(F.xxhash64(*KEY, "entity")).sortWithinPartitions(*KEY, "entity", "batch_id", "least_id").mapInArrow(_fold_batches(days), _FOLD)
     return tagged.join(folded, [*KEY, "entity", "day", "batch_id"]).select("first_id", "id").distinct()
 
 
-def repeats(rows: DataFrame, days: int = DAYS) -> DataFrame:
+def repeats(rows: DataFrame, days: int = DAYS, few: int = FEW) -> DataFrame:
     """``first_id, id`` for each row that repeats an accepted row of an earlier batch (see the module's text).
 
     ``rows`` as from :func:`prepare`, in any number of batches. Rows of one batch never repeat each other.
     Of several accepted rows in reach the lowest id is named. Rows standing twice with one id give one pair.
     """
-    return _repeats(checkpoint(hashed(rows)), days)
+    return _repeats(written(hashed(rows)), days, few)
 
 
 class History:
@@ -189,7 +197,7 @@ class History:
 
     def admit(self, delivery: DataFrame) -> DataFrame:
         """``first_id, id`` of the delivery's repeats; its other rows (as from :func:`prepare`) are appended."""
-        new = checkpoint(hashed(delivery))
+        new = written(hashed(delivery))
         stored, rows = self.accepted(), new
         if stored is not None:
             placed = new.withColumn("bucket", self._bucket())
@@ -200,8 +208,8 @@ class History:
         if stored is not None:
             found = found.join(new.select("id"), "id", "left_semi")
         found = checkpoint(found)
-        kept = new.join(found.select("id"), "id", "left_anti").withColumn("bucket", self._bucket())
-        kept.repartition(self.buckets, "bucket").write.mode("append").partitionBy("bucket").parquet(self.path)
+        kept = new.join(found.select("id"), "id", "left_anti").select("id", "key", _content().alias("content"), "payee", "batch_id", "day", self._bucket().alias("bucket"))
+        kept.repartition("bucket").write.mode("append").option("compression", "zstd").partitionBy("bucket").parquet(self.path)
         return found.select("first_id", "id")
 
 

@@ -4,8 +4,8 @@ Every name is read into a core: channel marks, store numbers, places and legal f
 initials become sets of full names. From the core come all canonical rewritings - word orders run together,
 consonant skeletons, one letter left out, first word beside the start of the second, surname beside
 given name. Any two cores that ``same_name`` accepts share a rewriting, so the rewritings are exploded and joined on
-equality, and whoever shares one is compared exactly, however many do: a common rewriting costs time but
-drops nothing. Linked cores are gathered into connected components. Initials and bare surnames come last and
+equality, and whoever shares one is compared exactly. A link's score sums the rarity of what it shares; a rewriting that many
+names share is split by a second key rather than dropped. Linked cores are gathered into connected components. Initials and bare surnames come last and
 join a person only if a single one fits.
 """
 
@@ -349,47 +349,140 @@ def link_group(members: Iterable[str]) -> Iterator[tuple[str, str]]:
     clusters: list[list[tuple[str, Core]]] = []
     for key in members:
         core = Core.of(key)
-        fits = [c for c in clusters if any(same_name(x, core) for _, x in c)]
-        for c in fits:
-            yield c[0][0], key
+        met = [(c, k) for c in clusters if (k := next((k for k, x in c if same_name(x, core)), None)) is not None]
+        fits = [c for c, _ in met]
+        for _, k in met:
+            yield k, key
         if len(fits) == 1:
             fits[0].append((key, core))
         else:
             clusters = [c for c in clusters if not any(c is f for f in fits)] + [[x for c in fits for x in c] + [(key, core)]]
 
 
-def _link_batches(batches):
-    def rows(found):
-        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.string()) for i in range(3)], names=["a", "b", "grp"])
+#: A rewriting shared by more cores than this is not compared in one place: see :func:`_finer_batches`.
+HOT = 256
+_LINK = pa.schema([("a", pa.string()), ("b", pa.string()), ("grp", pa.string()), ("rarity", pa.float64()), ("form", pa.string())])
+_LINK_DDL = "a string, b string, grp string, rarity double, form string"
 
-    def of_group(form, members):
+
+def _rows(found: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate(_LINK.types)], schema=_LINK)
+
+
+def _link_batches(most: int):
+    """Sorted (form, core) -> links of the cores that share a form, each with the form's rarity, 2 over the number of cores that share it.
+
+    Of a form of :func:`rewritings` by two words that more than ``most`` cores share the members come out unlinked, with ``form`` set, as they stream by.
+    """
+
+    def flush(form, members):
+        if len(members) < 2:
+            return []
         grp = form.partition("\x1f")[2]
-        return [(a, b, grp) for a, b in link_group(members)] if len(members) > 1 else []
+        return [(a, b, grp, 2.0 / len(members), None) for a, b in link_group(members)]
+
+    def run(batches):
+        current, members, hot = None, [], False
+        for batch in batches:
+            found: list[tuple] = []
+            for form, core in zip(batch.column("form").to_pylist(), batch.column("core").to_pylist(), strict=True):
+                if form != current:
+                    if current is not None and not hot:
+                        found += flush(current, members)
+                    current, members, hot = form, [], False
+                members.append(core)
+                if hot or form[0] == "W" and len(members) > most:
+                    found += [(c, None, form.partition("\x1f")[2], None, form) for c in members]
+                    hot, members = True, []
+                if len(found) > 20_000:
+                    yield _rows(found)
+                    found = []
+            if found:
+                yield _rows(found)
+        if current is not None and not hot and (found := flush(current, members)):
+            yield _rows(found)
+
+    return run
+
+
+def _second_word(words: tuple[str, ...]) -> Iterator[tuple[str, bool]]:
+    """(key, whether the word stands whole) of a second word: words that are close share a key under which one at least stands whole."""
+    w = words[1]
+    yield from ((f"1{x}", True) for x in left_out(w))
+    if len(bones := skeleton(w)) > 2:
+        yield from ((f"2{x}", True) for x in left_out(bones))
+    yield f"3{w}", True
+    yield from ((f"3{w[:k]}", False) for k in range(3, len(w)))
+    if len(w) > 4:
+        yield from ((f"4{x}", True) for x in left_out(w))
+        yield from ((f"4{x}", False) for k in range(5, len(w)) for x in set(left_out(w[:k])))
+
+
+def _finer_batches(batches):
+    """Members of hot forms by first words -> (form, core, part): the form together with each key of the second word; wholes before parts."""
+    for batch in batches:
+        out: set[tuple[str, str, int]] = set()
+        for form, key in zip(batch.column("form").to_pylist(), batch.column("a").to_pylist(), strict=True):
+            n = int(re.match(r"W(\d+)", form)[1])
+            for words in Core.of(key).readings:
+                if len(words) == n:
+                    out.update((f"{form}\x1e{k}", key, 0 if whole else 1) for k, whole in _second_word(words))
+        rows = sorted(out)
+        for i in range(0, len(rows), 50_000):
+            part = rows[i : i + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.string()), pa.array([r[1] for r in part], pa.string()), pa.array([r[2] for r in part], pa.int32())], names=["form", "core", "part"])
+
+
+def _finer_link_batches(batches):
+    """Sorted (form, part, core) -> links: wholes among themselves, each part with the wholes only, as it streams by."""
+    current, wholes, linked = None, [], False
+
+    def flush(form, members):
+        grp = form.partition("\x1f")[2].partition("\x1e")[0]
+        return [(a, b, grp, 2.0 / len(members), None) for a, b in link_group(members)] if len(members) > 1 else []
 
-    current, members = None, []
     for batch in batches:
-        found: list[tuple[str, str, str]] = []
-        for form, core in zip(batch.column("form").to_pylist(), batch.column("core").to_pylist(), strict=True):
+        found: list[tuple] = []
+        for form, part, key in zip(*(batch.column(c).to_pylist() for c in ("form", "part", "core")), strict=True):
             if form != current:
-                if current is not None:
-                    found += of_group(current, members)
-                current, members = form, []
-            members.append(core)
+                if current is not None and not linked:
+                    found += flush(current, wholes)
+                current, wholes, linked = form, [], False
+            if part == 0:
+                wholes.append(key)
+                continue
+            if not linked:
+                found += flush(current, wholes)
+                linked = True
+            core, grp = Core.of(key), form.partition("\x1f")[2].partition("\x1e")[0]
+            found += [(w, key, grp, 2.0 / (len(wholes) + 1), None) for w in wholes if w != key and same_name(Core.of(w), core)]
+            if len(found) > 20_000:
+                yield _rows(found)
+                found = []
         if found:
-            yield rows(found)
-    if current is not None and (found := of_group(current, members)):
-        yield rows(found)
+            yield _rows(found)
+    if current is not None and not linked and (found := flush(current, wholes)):
+        yield _rows(found)
 
 
 def _node(core: str = "core") -> F.Column:
     return F.when(F.col("grp") == "", F.col(core)).otherwise(F.concat_ws("\x1f", "grp", core))
 
 
-def links(keys: DataFrame) -> DataFrame:
-    """Links a, b between the nodes of the distinct ``keys(core, grp)``, through equal rewritings; initials and bare surnames have none."""
+def links(keys: DataFrame, hot_from: int = HOT) -> DataFrame:
+    """a, b, score: links between the nodes of the distinct ``keys(core, grp)``, through equal rewritings; initials and bare surnames have none.
+
+    Whoever shares a rewriting is compared exactly. ``score`` sums the rarity of the rewritings that gave the link: 1 for each that
+    only the two share. A rewriting by two words that many share is joined once more together with the keys of the second word, so no group
+    grows with the number of names that begin alike.
+    """
     forms = keys.select("core", "grp").mapInArrow(_form_batches, "form string, core string")
-    found = forms.repartition(F.col("form")).sortWithinPartitions("form", "core").mapInArrow(_link_batches, "a string, b string, grp string")
-    return found.select(_node("a").alias("a"), _node("b").alias("b")).distinct()
+    met = checkpoint(forms.repartition(F.col("form")).sortWithinPartitions("form", "core").mapInArrow(_link_batches(hot_from), _LINK_DDL))
+    found, hot = met.where(F.col("form").isNull()), met.where(F.col("form").isNotNull())
+    if not hot.isEmpty():
+        finer = hot.select("form", "a").repartition(F.xxhash64("form", "a")).mapInArrow(_finer_batches, "form string, core string, part int").distinct()
+        found = found.unionByName(finer.repartition(F.col("form")).sortWithinPartitions("form", "part", "core").mapInArrow(_finer_link_batches, _LINK_DDL))
+    return found.select(_node("a").alias("a"), _node("b").alias("b"), "rarity").groupBy("a", "b").agg(F.sum("rarity").alias("score"))
 
 
 def _near_batches(batches):
@@ -441,7 +534,7 @@ def entities(core_keys: DataFrame) -> DataFrame:
     grp = F.col("grp") if "grp" in core_keys.columns else F.lit("")
     keys = checkpoint(core_keys.select("core", grp.alias("grp")).distinct().withColumn("node", _node()))
     vague = F.col("core").rlike(r"^P\|[^|]*\|\|")
-    sure = components(links(keys.where(~vague)))
+    sure = components(links(keys.where(~vague)).select("a", "b"))
     found = checkpoint(keys.where(~vague).join(sure, "node", "left").select("core", "grp", "node", F.coalesce("label", "node").alias("label")))
     part = lambda i: F.split("core", r"\|")[i]
     unsure = checkpoint(keys.where(vague).select("grp", "node", part(1).alias("surname"), part(3).alias("initial")))

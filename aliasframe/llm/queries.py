@@ -58,6 +58,20 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return a.join(b, "entity").where(F.col("id_a") < F.col("id_b")).select("id_a", "id_b")
 
 
+def p5_links(spark: SparkSession, d: str) -> DataFrame:
+    """Cores of the recorded spellings that agree, with the summed rarity of the rewritings they share."""
+    cores = checkpoint(names.cores(read_table(spark, d, "payee_variant").select(F.col("variant").alias("name"))))
+    keys = cores.where(F.col("core").isNotNull() & ~F.col("core").rlike(r"^P\|[^|]*\|\|")).select("core", F.lit("").alias("grp")).distinct()
+    return names.links(keys)
+
+
+def p5_classes(spark: SparkSession, d: str) -> DataFrame:
+    """One row a recorded spelling: its entity, and how many spellings that has."""
+    variants = read_table(spark, d, "payee_variant").select("id", F.col("variant").alias("name")).where(F.col("name").isNotNull())
+    linked = checkpoint(variants.join(names.link_names(variants).select("name", "entity"), "name"))
+    return linked.join(linked.groupBy("entity").agg(F.count("*").alias("spellings")), "entity").select("id", "entity", "spellings")
+
+
 def p5_entities(spark: SparkSession, d: str) -> DataFrame:
     """The entity of every distinct spelling in the variants, the transactions and the statement files."""
     spellings = read_table(spark, d, "payee_variant").select(F.col("variant").alias("name"))
@@ -118,7 +132,7 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_documents(read_table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p4_found, p4_restored, p5_found, p5_entities, p7_found, p7_history, p7_accepted, p8_packed, p9_mixed, p9_shares, p10_found, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p4_found, p4_restored, p5_found, p5_links, p5_classes, p5_entities, p7_found, p7_history, p7_accepted, p8_packed, p9_mixed, p9_shares, p10_found, p10_pieces)}
 
 SQL = {
     "p10_found": r"""

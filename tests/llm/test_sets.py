@@ -103,6 +103,29 @@ def test_a_rewriting_shared_by_many_still_links(spark):
     assert len(got) > 128 and len({r["entity"] for r in got}) == 1
 
 
+@pytest.mark.parametrize("hot", [256, 3])
+def test_links_of_names_that_begin_alike(spark, hot):
+    r = random.Random(21)
+    tails = [_word(r, k) for k in (2, 3, 3, 4, 4)]
+    cut = lambda w: r.choice((w, w[: r.randint(3, len(w))], names.skeleton(w), _typo(r, w)))
+    spelt = sorted({f"{r.choice(('BALORTO', 'BALORTO', 'BALRTO'))} {cut(r.choice(tails))}{r.choice(('', '', ' ' + _word(r, 2)))}" for _ in range(260)})
+    cores = sorted({c.key() for n in spelt if (c := names.read_name(n)) is not None and not c.vague})
+    found = names.links(spark.createDataFrame([(c, "") for c in cores], "core string, grp string"), hot).collect()
+    label = names._least(cores, ((x["a"], x["b"]) for x in found))
+    want = names._least(cores, ((a, b) for i, a in enumerate(cores) for b in cores[i + 1 :] if names.same_name(names.Core.of(a), names.Core.of(b))))
+    assert label == want and len(set(want.values())) > 3 and all(x["score"] > 0 and names.same_name(names.Core.of(x["a"]), names.Core.of(x["b"])) for x in found)
+
+
+def test_many_people_of_one_surname(spark):
+    first = [a + b for a in ("BAL", "DRE", "FIN", "GOR", "HUL", "JAS", "KEM", "LOR", "MIV", "NUP") for b in ("ANA", "EMO", "IRU", "OLE", "UDA", "ASK", "EVI", "INT", "ORB", "UXE")]
+    people = [f"ZELLE TO {a}{b} KARVONE" for a in first for b in first[::4]]
+    got = {r["name"]: r["entity"] for r in names.link_names(spark.createDataFrame([(p,) for p in people], "name string")).collect()}
+    cores = {n: names.read_name(n) for n in people}
+    want = names._least(people, ((x, y) for i, x in enumerate(people[:150]) for y in people[i + 1 : 150] if names.same_name(cores[x], cores[y])))
+    assert len(got) == len(people) == 2500 and len(set(got.values())) > 1500
+    assert all((got[x] == got[y]) >= (want[x] == want[y]) for i, x in enumerate(people[:150]) for y in people[i + 1 : 150])
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text("ABC", max_size=6), st.text("ABC", max_size=6))
 def test_one_error_against_brute_force(a, b):
@@ -140,23 +163,21 @@ def _same(a, b):
 
 
 @pytest.mark.parametrize("few", [24, 1])
-def test_repeats_against_a_plain_fold(spark, monkeypatch, few):
-    monkeypatch.setattr(dedupe, "FEW", few)
+def test_repeats_against_a_plain_fold(spark, few):
     for seed in (1, 2):
         rows = _rows(seed, 260, 0.4)
-        got = {r["id"]: r["first_id"] for r in dedupe.repeats(spark.createDataFrame(rows, ROWS)).collect()}
+        got = {r["id"]: r["first_id"] for r in dedupe.repeats(spark.createDataFrame(rows, ROWS), few=few).collect()}
         assert got == _plain_fold(rows, _same)
     assert dedupe.repeats(spark.createDataFrame([], ROWS)).count() == 0
 
 
-def test_entities_of_a_session_do_not_depend_on_its_size(spark, monkeypatch):
+def test_entities_of_a_session_do_not_depend_on_its_size(spark):
     noisy = [*_noisy(9, 120), "12 #34", "56 #7", "LGRZLR GOF", "LUGARZELOR GOFAVAN"]
     df = spark.createDataFrame([(5, day, p) for day in (1, 2) for p in (noisy if day == 1 else noisy[::2])], "key long, session int, payee string")
 
     def parts(few):
-        monkeypatch.setattr(dedupe, "FEW", few)
         out: dict = {}
-        for r in dedupe.entities(df).collect():
+        for r in dedupe.entities(df, few).collect():
             out.setdefault((r["session"], r["entity"]), set()).add(r["payee"])
         return sorted((k[0], sorted(v)) for k, v in out.items())
 
