@@ -1,4 +1,4 @@
-"""Command line: ``python -m aliasframe.cli init|status|ingest|export|payees|lint|lens``.
+"""Command line: ``python -m aliasframe.cli init|status|ingest|export|payees|lint|fakeness|key|lens``.
 
 Exit codes: 0 fine, 1 refused or some file faulty, 2 wrong use or no access. Messages on the error stream; no real value is
 printed unless ``--show-raw`` asks for it.
@@ -7,6 +7,7 @@ printed unless ``--show-raw`` asks for it.
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 from datetime import UTC, datetime
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from .functions.text import token_number
 from .operators import aliases, checks, projection, redact
 from .plans import ingest as plan
-from .sources import statement
+from .sources import keys, statement
 
 
 def _spark() -> SparkSession:
@@ -27,14 +28,8 @@ def _spark() -> SparkSession:
 
 
 def _ingest(spark, store, args) -> int:
-    reader = spark.read.format("statement")
-    for pair in args.map or []:
-        name, _, header = pair.partition("=")
-        reader = reader.option(f"map.{name}", header)
-    rows = None
-    for path in args.files:
-        one = reader.load(path)
-        rows = one if rows is None else rows.unionByName(one)
+    options = {f"map.{name}": header for name, _, header in (pair.partition("=") for pair in args.map or [])}
+    rows = statement.read(spark, list(args.files), **options)
     bad = 0
     for r in plan.ingest(store, rows).orderBy("source_file").toLocalIterator():
         bad += r["faulty"] > 0
@@ -51,8 +46,8 @@ def _export(store, args) -> int:
     months = [args.month] if args.month else sorted(r[0] for r in projection.months(raw).toLocalIterator())
     worst = 0
     for month in months:
-        out = f"{args.out}/proj-{month}" if not args.month else args.out
-        done = projection.export_month(raw, mapping, variants, month, out, stamp)
+        out = f"{args.out}/proj-{month}{'' if args.parts else '.json'}" if not args.month else args.out
+        done = projection.export_month(raw, mapping, variants, month, out, stamp, single=not args.parts)
         print(f"{month}: {done['verdict']}, {done['rows']} rows, {done['findings']} findings", file=sys.stderr if done["verdict"] == "red" else sys.stdout)
         worst |= done["verdict"] == "red"
     return int(worst)
@@ -75,6 +70,22 @@ def _payees(store, args) -> int:
     return 0
 
 
+def _key(args) -> int:
+    held = keys.KeyFile(args.file)
+    try:
+        if args.action == "generate":
+            held.generate(args.force)
+        elif args.action == "set":
+            held.set(sys.stdin.readline().strip(), args.force)
+        elif args.action == "delete":
+            held.delete()
+        print("key present" if held.present() else "no key")
+    except (ValueError, FileExistsError, FileNotFoundError) as e:
+        print(e, file=sys.stderr)
+        return 1
+    return 0
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="aliasframe")
     sub = p.add_subparsers(dest="command", required=True)
@@ -89,6 +100,7 @@ def parser() -> argparse.ArgumentParser:
     i.add_argument("--show-raw", action="store_true")
     e = sub.add_parser("export", parents=[with_store])
     e.add_argument("--out", required=True)
+    e.add_argument("--parts", action="store_true", help="a folder of JSON lines instead of one document")
     which = e.add_mutually_exclusive_group(required=True)
     which.add_argument("--month")
     which.add_argument("--all-months", action="store_true")
@@ -99,6 +111,11 @@ def parser() -> argparse.ArgumentParser:
     todo.add_argument("--split")
     todo.add_argument("--rename", nargs=2, metavar=("TOKEN", "LABEL"))
     sub.add_parser("lint").add_argument("file")
+    sub.add_parser("fakeness").add_argument("target")
+    k = sub.add_parser("key")
+    k.add_argument("action", choices=("generate", "set", "delete", "show"), help="set reads the key from the input; none is ever printed")
+    k.add_argument("file")
+    k.add_argument("--force", action="store_true")
     n = sub.add_parser("lens", parents=[with_store])
     n.add_argument("text")
     return p
@@ -106,12 +123,20 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
+    if args.command == "key":
+        return _key(args)
+    if args.command == "status" and "://" not in args.store and not os.path.exists(os.path.join(args.store, "store.json")):
+        print("no store here", file=sys.stderr)  # known without a session
+        return 2
     spark = _spark()
     if args.command == "lint":
-        found = checks.lint_text(spark.read.text(args.file, wholetext=True).withColumn("k", F.lit(1)), "k", "value")
-        counts = {r["kind"]: r["n"] for r in checks.kind_counts(found).collect()}  # one row a kind
-        print("clean" if not counts else ", ".join(f"{k}: {n}" for k, n in sorted(counts.items())))
-        return int(bool(counts))
+        found = checks.lint_file(spark, args.file)
+        print(checks.report(found))
+        return int(not found.isEmpty())
+    if args.command == "fakeness":
+        found = checks.scan_files(spark, args.target).select("kind", F.format_string("%s:%d:%d", "path", "line", "col").alias("detail"))
+        print(checks.report(found))
+        return int(not found.isEmpty())
     try:
         store = plan.open_store(spark, args.store, args.key, create=args.command == "init")
     except (FileNotFoundError, PermissionError, ValueError) as e:

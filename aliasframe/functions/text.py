@@ -73,6 +73,17 @@ def token_number(token: Column) -> Column:
     return F.coalesce(F.regexp_extract(token, "-([0-9]+)$", 1).try_cast("bigint"), F.lit(0))
 
 
+def figure(value: Column) -> Column:
+    """An amount as a reply writes it: signed, two decimals."""
+    return F.format_string("%+.2f", value.cast("double"))
+
+
+def shows_figure(text: Column, value: Column) -> Column:
+    """Whether a text holds the amount as :func:`figure` writes it or, if it is whole, as a whole number."""
+    whole = F.when(value == F.floor(value), F.contains(text, F.floor(value).cast("bigint").cast("string"))).otherwise(False)
+    return F.coalesce(F.contains(text, figure(value)) | whole, F.lit(False))
+
+
 def aba_valid(digits: Column) -> Column:
     """Nine digits whose weighted sum (3, 7, 1, again and again) is a multiple of ten."""
     weights = F.array(*[F.lit(w) for w in (3, 7, 1) * 3])

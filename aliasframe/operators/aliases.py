@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import CLASSES, token_number
+from ..functions.text import CLASSES, is_canonical, token_number
 from .graph import chain_heads
 
 REVIEW_BELOW = 0.95
@@ -44,6 +44,17 @@ def counters(mapping: DataFrame) -> DataFrame:
     return mapping.groupBy("entity_type").agg((F.max(token_number(F.col("alias_token"))) + 1).alias("next_n"))
 
 
+def put(mapping: DataFrame, rows: DataFrame) -> DataFrame:
+    """The mapping with ``rows(alias_token, entity_type, real_value)`` put in: a token that is there gets the new value and keeps its redirect.
+
+    Tokens that are no canonical tokens of their class, and null or empty values, are left out. Of several rows with one token the greatest value is kept.
+    """
+    good = rows.where(is_canonical(F.col("alias_token")) & (F.substring_index("alias_token", "-", 1) == F.col("entity_type")) & (F.coalesce("real_value", F.lit("")) != ""))
+    new = good.groupBy("alias_token", "entity_type").agg(F.max("real_value").alias("__new"))
+    both = mapping.join(new, ["alias_token", "entity_type"], "full")
+    return both.withColumn("real_value", F.coalesce("__new", "real_value")).select(*mapping.columns)
+
+
 def heads(mapping: DataFrame) -> DataFrame:
     """token, head of every token of the mapping; only redirected ones go through the chain."""
     moved = mapping.where(F.col("merged_into").isNotNull())

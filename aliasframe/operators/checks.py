@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import aba_valid, is_canonical, luhn_valid, spans
@@ -67,6 +67,38 @@ def conformance(records: DataFrame, key: str) -> DataFrame:
     return records.select(key, F.inline(fields)).where(F.col("match").isNotNull() & ~is_canonical(F.col("match")))
 
 
+#: Suffixes of the files that are scanned.
+SUFFIXES = ("csv", "ofx", "qfx", "json", "md", "txt", "py", "toml", "yaml", "yml")
+
+
+def scan_files(spark: SparkSession, target: str, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
+    """``path, kind, match, line, col`` of everything :func:`scan_text` finds in the files below ``target``; files that are no UTF-8 are passed over."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(target).where(F.lower("path").rlike(r"\.(" + "|".join(suffixes) + ")$"))
+    texts = files.where(F.expr("is_valid_utf8(CAST(content AS STRING))")).select("path", F.col("content").cast("string").alias("text"))
+    return scan_text(texts, "path", "text")
+
+
+_DOCUMENT = "struct<records:array<struct<account:string,institution:string,payee:string>>>"
+
+
+def lint_file(spark: SparkSession, path: str, deny: dict[str, list[str]] | None = None) -> DataFrame:
+    """``path, kind, match, detail`` of one file: all findings of its text and, if it is a JSON object with a list ``records``, its identifying fields that are no tokens."""
+    files = spark.read.text(path, wholetext=True).select(F.lit(path).alias("path"), F.col("value").alias("text"))
+    found = lint_text(files, "path", "text", deny)
+    records = files.select("path", F.posexplode(F.from_json("text", _DOCUMENT)["records"]).alias("at", "r")).select(F.concat_ws("#", "path", "at").alias("key"), "r.account", "r.institution", "r.payee")
+    odd = conformance(records, "key").select(F.lit(path).alias("path"), F.lit("alias_nonconformance").alias("kind"), "match", F.concat(F.lit("records["), F.regexp_extract("key", r"#(\d+)$", 1), F.lit("]."), F.col("field")).alias("detail"))
+    return found.unionByName(odd)
+
+
+def report(findings: DataFrame, most: int = 200) -> str:
+    """A report for a terminal: one line a kind with its count, then the first ``most`` findings by place; values are not shown."""
+    counts = {r["kind"]: r["n"] for r in kind_counts(findings).collect()}  # one row a kind
+    if not counts:
+        return "clean"
+    lines = [f"{k}: {n}" for k, n in sorted(counts.items())]
+    return "\n".join([*lines, *(f"  {r['kind']} at {r['detail']}" for r in findings.orderBy("kind", "detail").limit(most).collect())])
+
+
 def verdict(findings: DataFrame) -> DataFrame:
     """One row: ``verdict`` (clean or leaks), ``findings``, and the sorted ``kinds`` joined by commas."""
     return findings.agg(F.count("*").alias("findings"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds")).select(F.when(F.col("findings") == 0, "clean").otherwise("leaks").alias("verdict"), "findings", "kinds")

@@ -144,18 +144,43 @@ def attestation(stamp: str) -> dict:
     return {"tool": "aliasframe", "check": "lint", "status": "green", "leak_count": 0, "timestamp": stamp, "linter": "aliasframe.checks", "linter_version": 1}
 
 
-def export_month(raw: DataFrame, mapping: DataFrame, variants: DataFrame, month: str, out: str, stamp: str) -> dict:
+def document(records: DataFrame, **head) -> str:
+    """``{version, records}`` and what else ``head`` holds as one JSON text with sorted keys, records by id: for a window that a reader takes whole."""
+    rows = [json.loads(r[0]) for r in records.orderBy("id").select(record_json()).toLocalIterator()]
+    return json.dumps({"version": 1, **head, "records": rows}, sort_keys=True, ensure_ascii=False)
+
+
+def write_document(records: DataFrame, path: str, **head) -> None:
+    """The same document written to one file of any file system as the rows stream by; it appears under its name only when whole."""
+    jvm = records.sparkSession._jvm
+    stage, final = jvm.org.apache.hadoop.fs.Path(f"{path}._staged"), jvm.org.apache.hadoop.fs.Path(path)
+    fs = final.getFileSystem(records.sparkSession._jsc.hadoopConfiguration())
+    out = fs.create(stage, True)
+    before, after = {k: v for k, v in head.items() if k < "records"}, {"version": 1, **{k: v for k, v in head.items() if k > "records"}}
+    out.write(bytearray(("{" + "".join(f"{json.dumps(k)}: {json.dumps(v, sort_keys=True)}, " for k, v in sorted(before.items())) + '"records": [').encode()))
+    for i, r in enumerate(records.orderBy("id").select(record_json()).toLocalIterator()):
+        out.write(bytearray(((", " if i else "") + r[0]).encode()))
+    out.write(bytearray(("]" + "".join(f", {json.dumps(k)}: {json.dumps(v, sort_keys=True)}" for k, v in sorted(after.items())) + "}").encode()))
+    out.close()
+    fs.delete(final, True)
+    fs.rename(stage, final)
+
+
+def export_month(raw: DataFrame, mapping: DataFrame, variants: DataFrame, month: str, out: str, stamp: str, single: bool = False) -> dict:
     """Write one month's projection if nothing leaks: ``{month, rows, verdict, findings, path}``.
 
-    The file is a JSON-lines table of the month's records with the attestation beside it, written by the executors and made
-    visible by a rename. On findings nothing is written; an empty month is written as such and says so.
+    With ``single`` the month is one JSON document ``{provenance, records, version}``; else a JSON-lines table of its records with the attestation
+    beside it, written by the executors. Either is made visible by a rename. The lint runs over the records' whole JSON. On findings nothing is written; an empty month is written as such and says so.
     """
     records = project(month_rows(raw, month), mapping, variants)
-    text = records.select("id", F.concat_ws("\n", "account", "institution", "payee", "date").alias("text"))
+    text = records.select("id", record_json().alias("text"))
     findings = checks.conformance(records, "id").select(F.lit("alias_nonconformance").alias("kind"), "match", "field").unionByName(checks.lint_text(text, "id", "text").select("kind", "match", F.col("detail").alias("field")))
     n, bad = records.count(), findings.count()
     if bad:
         return {"month": month, "rows": n, "verdict": "red", "findings": bad, "path": None}
+    if single:
+        write_document(records, out, provenance=attestation(stamp))
+        return {"month": month, "rows": n, "verdict": "green" if n else "empty", "findings": 0, "path": os.fspath(out)}
     jvm = raw.sparkSession._jvm
     stage, final = jvm.org.apache.hadoop.fs.Path(f"{out}._staged"), jvm.org.apache.hadoop.fs.Path(out)
     fs = final.getFileSystem(raw.sparkSession._jsc.hadoopConfiguration())

@@ -141,9 +141,12 @@ def read_text(text: str, anchored: Callable[[list[str]], bool] | None = None) ->
         yield got
 
 
+_LINE_END = re.compile(r"\r\n|\r|\n")
+
+
 def _next_anchor(text: str, start: int, width: int, anchored: Callable[[list[str]], bool] | None) -> int:
-    for line in re.finditer(r"\r\n|\r|\n", text[start:]):
-        at = start + line.end()
+    for line in _LINE_END.finditer(text, start):
+        at = line.end()
         if at >= len(text):
             break
         g = Grammar(text, at)

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import ALIAS, lexicon_key, spans
+from ..functions.text import ALIAS, lexicon_key, significant_tokens, spans, token_number, variant_key
+from ..session import checkpoint
 from . import aliases
 
 # ---- fixed values: words that open sentences and fill questions, never an entity by themselves -----------
@@ -99,10 +101,11 @@ def redact(rows: DataFrame, key: str, text: str, lexicon: DataFrame) -> DataFram
     return out.select(key, F.when(F.col("substitutions").isNotNull(), rebuilt).otherwise(F.col(text)).alias("redacted"), F.coalesce("substitutions", none).alias("substitutions"))
 
 
-def warnings(rows: DataFrame, key: str, text: str, covered: DataFrame | None = None) -> DataFrame:
-    """``key, start, end, surface, reason`` of capitalised mentions that are neither covered nor ordinary words.
+def warnings(rows: DataFrame, key: str, text: str, covered: DataFrame | None = None, matcher: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``key, start, end, surface, reason`` of capitalised mentions that are neither covered nor ordinary words nor known to the matcher.
 
-    ``covered(key, substitutions)`` as from :func:`redact`: a mention that overlaps a substitution is known.
+    ``covered(key, substitutions)`` as from :func:`redact`: a mention that overlaps a substitution is known. ``matcher`` takes ``mention`` and gives the mentions it
+    can resolve (see :func:`resolve.match`).
     """
     runs = rows.where(F.col(text).rlike("[A-Z]")).select(key, F.explode(spans(F.col(text), PROPER)).alias("s"))
     words = F.filter(F.split(F.upper(F.col("s.raw")), "[^A-Z0-9]+"), lambda w: w != "")
@@ -110,13 +113,27 @@ def warnings(rows: DataFrame, key: str, text: str, covered: DataFrame | None = N
     if covered is not None:
         odd = odd.join(covered.select(key, "substitutions"), key, "left")
         odd = odd.where(~F.coalesce(F.exists("substitutions", lambda c: (F.col("s.start") < c["end"]) & (c["start"] < F.col("s.end"))), F.lit(False)))
-    return odd.select(key, F.col("s.start").cast("bigint").alias("start"), F.col("s.end").cast("bigint").alias("end"), F.col("s.raw").alias("surface"), F.lit("unresolved-entity").alias("reason"))
+    odd = odd.select(key, F.col("s.start").cast("bigint").alias("start"), F.col("s.end").cast("bigint").alias("end"), F.col("s.raw").alias("surface"))
+    if matcher is not None:
+        odd = checkpoint(odd)
+        known = matcher(odd.select(F.col("surface").alias("mention")).distinct()).select(F.col("mention").alias("surface")).distinct()
+        odd = odd.join(known, "surface", "left_anti")
+    return odd.select(key, "start", "end", "surface", F.lit("unresolved-entity").alias("reason"))
 
 
 def surfaces(raw: DataFrame, mapping: DataFrame, variants: DataFrame) -> DataFrame:
-    """surface, token for outbound redaction: real values of literal classes, and every spelling of every payee."""
+    """surface, token for outbound redaction.
+
+    Real values of literal classes; labels and recorded spellings of payees; and of every raw payee that is recorded both the text as it came and the phrase of its
+    telling words, which is how a person would say it. Where spellings of several payees give one phrase the row that came last wins, and a payee wins over a literal.
+    """
     at = aliases.heads(mapping)
-    literal = mapping.where(F.col("entity_type") != "PAYEE").join(at, F.col("alias_token") == F.col("token")).select(F.col("real_value").alias("surface"), F.col("head").alias("token"))
-    named = mapping.where(F.col("entity_type") == "PAYEE").join(at, F.col("alias_token") == F.col("token")).select(F.col("real_value").alias("surface"), F.col("head").alias("token"))
-    spelt = variants.join(at, F.col("alias_token") == F.col("token")).select(F.col("variant").alias("surface"), F.col("head").alias("token"))
-    return literal.unionByName(named).unionByName(spelt).distinct()
+    literal = mapping.where(F.col("entity_type") != "PAYEE").join(at, F.col("alias_token") == F.col("token")).select(F.col("real_value").alias("surface"), F.col("head").alias("token"), F.lit(0).alias("rank"), F.lit(0).cast("bigint").alias("seen"))
+    named = mapping.where(F.col("entity_type") == "PAYEE").join(at, F.col("alias_token") == F.col("token")).select(F.col("real_value").alias("surface"), F.col("head").alias("token"), F.lit(1).alias("rank"), F.lit(0).cast("bigint").alias("seen"))
+    spelt = variants.join(at, F.col("alias_token") == F.col("token")).select("variant", F.col("head").alias("token"))
+    said = raw.where(F.coalesce("raw_payee", F.lit("")) != "").groupBy("raw_payee").agg(F.max("id").cast("bigint").alias("seen")).withColumn("variant", variant_key(F.col("raw_payee"))).join(spelt, "variant")
+    phrase = F.array_join(significant_tokens(F.col("raw_payee")), " ")
+    spoken = said.select(F.explode(F.array("raw_payee", F.nullif(phrase, F.lit("")))).alias("surface"), "token", F.lit(2).alias("rank"), "seen")
+    every = literal.unionByName(named).unionByName(spelt.select(F.col("variant").alias("surface"), "token", F.lit(1).alias("rank"), F.lit(0).cast("bigint").alias("seen"))).unionByName(spoken)
+    best = every.where(F.col("surface").isNotNull()).groupBy(lexicon_key(F.col("surface")).alias("surface")).agg(F.max_by("token", F.struct("rank", "seen", F.negative(token_number(F.col("token"))))).alias("token"))
+    return best

@@ -9,6 +9,10 @@ from ..functions.instants import with_instant
 from ..session import broadcast_checked
 
 
+#: Zones that can stand to choice; the public database has some 600.
+MOST_ZONES = 1000
+
+
 def account_prefix(account: Column) -> Column:
     """Letters before the first dash of an account id; null where there is no dash."""
     return F.when(F.instr(account, "-") > 1, F.substring_index(account, "-", 1))
@@ -37,7 +41,10 @@ def estimate_zones(rows: DataFrame, source: str, value: str, ingested: str, zone
     ingested over ``most_lag_days`` later say nothing about closeness. Sources without such a reading have no row.
     """
     read = rows.select(F.col(source).alias("__source"), F.col(value).alias("__value"), F.col(ingested).alias("__ingested"))
-    tried = read.where(F.col("__source").isNotNull() & F.col("__ingested").isNotNull()).join(broadcast_checked(zones.select(F.col("zone").alias("__zone")).distinct(), 1000))
+    names = sorted(r[0] for r in zones.where(F.col("zone").isNotNull()).select("zone").distinct().limit(MOST_ZONES + 1).collect())
+    if len(names) > MOST_ZONES:
+        raise ValueError("more zones than there are in the world")
+    tried = read.where(F.col("__source").isNotNull() & F.col("__ingested").isNotNull()).withColumn("__zone", F.explode(F.array(*[F.lit(z) for z in names]) if names else F.array().cast("array<string>")))
     at = with_instant(tried, "__value", F.col("__zone"), "__v_").where(F.col("__v_needs_zone"))
     lag = (F.unix_micros("__ingested") - F.unix_micros("__v_instant")) / 1e6
     close = (lag >= 0) & (lag <= most_lag_days * 86_400)

@@ -11,11 +11,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import amounts, text
 from ..operators import aliases, checks, graph, projection, redact, resolve, scrub
 from ..operators.records import headers
 from ..session import read_table
+from . import gate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -547,7 +549,7 @@ def ledger_balances(s, d):
     return ledger(s, d).where(F.col("posted_date") >= "1996-01-01").groupBy("account_id").agg(F.sum("amount_cents").alias("net_cents"), F.count("*").alias("n"))
 
 
-@query()
+@query(_RECORDS_SQL + "SELECT id, CAST(json_object('account', account, 'amount', amount, 'category', category, 'date', date, 'institution', institution, 'payee', payee, 'ttype', ttype) AS VARCHAR) AS json FROM records")
 def projection_json(s, d):
     """Records as JSON lines with sorted keys."""
     return _records(s, d).select("id", projection.record_json().alias("json"))
@@ -563,3 +565,125 @@ def outbound_redact(s, d):
 def outbound_warnings(s, d):
     done = redact.redact(read_table(s, d, "documents"), "doc_id", "text", redact.surfaces(*_store(s, d)))
     return redact.warnings(read_table(s, d, "documents"), "doc_id", "text", done)
+
+
+# ---- labels, tokens, dictionary changes, scopes --------------------------------------------------------------------
+
+
+@query(f"SELECT id, CASE WHEN len({_TOKENS.replace('{}', 'variant')}) > 0 THEN array_to_string(list_transform({_TOKENS.replace('{}', 'variant')}, lambda t: upper(left(t, 1)) || lower(substr(t, 2))), ' ') ELSE coalesce(nullif(trim(regexp_replace(variant, '\\s+', ' ', 'g')), ''), 'Unknown Payee') END AS label FROM payee_variant")
+def display_label(s, d):
+    return read_table(s, d, "payee_variant").select("id", text.display_label(F.col("variant"), text.significant_tokens(F.col("variant"))).alias("label"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN k BETWEEN 0 AND 4 AND n > 0 THEN ['PAYEE', 'ACCT', 'INST', 'PERSON', 'CARD'][k + 1] || '-' || n END AS token FROM (SELECT l_orderkey, l_linenumber, l_orderkey % 6 AS k, l_linenumber - 1 AS n FROM lineitem)")
+def canonical_tokens(s, d):
+    """Tokens made from the order lines: five classes and one that is none, numbers from 0."""
+    classes = F.array(*[F.lit(c) for c in ("payee", "Acct", "INST", "person", "CARD", "BANK")])
+    return read_table(s, d, "lineitem").select("l_orderkey", "l_linenumber", text.canonical(F.get(classes, (F.col("l_orderkey") % 6).cast("int")), (F.col("l_linenumber") - 1).cast("bigint")).alias("token"))
+
+
+@query("SELECT id, printf('%+.2f', amount_cents / 100.0) AS figure, contains(raw_payee, CAST(amount_cents // 100 AS VARCHAR)) AND amount_cents % 100 = 0 OR contains(raw_payee, printf('%+.2f', amount_cents / 100.0)) AS shown FROM raw_transactions WHERE amount_cents IS NOT NULL AND raw_payee IS NOT NULL")
+def reply_figures(s, d):
+    """Every amount as a reply writes it, and whether the payee's text happens to show it."""
+    value = F.col("amount_cents") / 100
+    return _raw(s, d).where(F.col("amount_cents").isNotNull() & F.col("raw_payee").isNotNull()).select("id", text.figure(value).alias("figure"), text.shows_figure(F.col("raw_payee"), value).alias("shown"))
+
+
+@query("SELECT entity_type, real_value, arg_min(alias_token, CAST(regexp_extract(alias_token, '-([0-9]+)$', 1) AS BIGINT)) AS token FROM alias_mapping GROUP BY 1, 2")
+def alias_lookup(s, d):
+    """The token of every real value of every class."""
+    mapping = read_table(s, d, "alias_mapping")
+    out = None
+    for cls in text.CLASSES:
+        one = aliases.resolve_values(mapping, cls).select(F.lit(cls).alias("entity_type"), "real_value", "token")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("""
+    SELECT alias_token, entity_type, CASE WHEN entity_type = 'PAYEE' AND CAST(regexp_extract(alias_token, '-([0-9]+)$', 1) AS BIGINT) % 3 = 0 THEN 'Put ' || alias_token ELSE real_value END AS real_value, merged_into FROM alias_mapping
+    UNION ALL SELECT 'CARD-' || account_prefix, 'CARD', institution, NULL FROM institutions WHERE false
+    UNION ALL SELECT 'PERSON-' || n, 'PERSON', institution, NULL FROM (SELECT institution, row_number() OVER (ORDER BY institution) AS n FROM institutions)
+""")
+def alias_put(s, d):
+    """A third of the payees get another value, and new tokens come in; what is no token of its class is left out."""
+    mapping = read_table(s, d, "alias_mapping").select("alias_token", "entity_type", "real_value", "merged_into")
+    changed = mapping.where((F.col("entity_type") == "PAYEE") & (text.token_number(F.col("alias_token")) % 3 == 0)).select("alias_token", "entity_type", F.concat(F.lit("Put "), "alias_token").alias("real_value"))
+    banks = read_table(s, d, "institutions").select("institution").withColumn("n", F.row_number().over(Window.orderBy("institution")))  # twelve rows, fixed
+    fresh = banks.select(F.concat_ws("-", F.lit("PERSON"), "n").alias("alias_token"), F.lit("PERSON").alias("entity_type"), F.col("institution").alias("real_value"))
+    bad = banks.select(F.concat_ws("-", F.lit("CARD"), F.lit("x"), "n").alias("alias_token"), F.lit("CARD").alias("entity_type"), F.col("institution").alias("real_value"))
+    return aliases.put(mapping, changed.unionByName(fresh).unionByName(bad))
+
+
+_TWO_SQL = "two AS (SELECT alias_token, row_number() OVER (ORDER BY CAST(regexp_extract(alias_token, '-([0-9]+)$', 1) AS BIGINT)) AS k FROM alias_mapping m WHERE entity_type = 'PAYEE' AND merged_into IS NULL)"
+
+
+def _two(mapping: DataFrame) -> list[str]:
+    """The two payees with the lowest numbers that are heads."""
+    first = mapping.where((F.col("entity_type") == "PAYEE") & F.col("merged_into").isNull()).orderBy(text.token_number(F.col("alias_token"))).limit(2)
+    return [r[0] for r in first.select("alias_token").collect()]
+
+
+@query(f"WITH {_TWO_SQL} SELECT alias_token, CASE WHEN alias_token = (SELECT alias_token FROM two WHERE k = 2) THEN (SELECT alias_token FROM two WHERE k = 1) ELSE merged_into END AS merged_into FROM alias_mapping")
+def alias_merge(s, d):
+    mapping = read_table(s, d, "alias_mapping")
+    return aliases.merge(mapping, *_two(mapping))[0].select("alias_token", "merged_into")
+
+
+@query("SELECT alias_token, merged_into FROM alias_mapping")
+def alias_split(s, d):
+    """A merge taken back leaves the dictionary as it was."""
+    mapping = read_table(s, d, "alias_mapping")
+    two = _two(mapping)
+    return aliases.split(aliases.merge(mapping, *two)[0], two[1])[0].select("alias_token", "merged_into")
+
+
+@query(f"WITH {_TWO_SQL} SELECT alias_token, CASE WHEN alias_token = (SELECT alias_token FROM two WHERE k = 1) THEN 'Another  Name 1' ELSE real_value END AS real_value FROM alias_mapping".replace("Another  Name", "Another Name"))
+def alias_rename(s, d):
+    mapping = read_table(s, d, "alias_mapping")
+    return aliases.rename(mapping, _two(mapping)[0], "Another   Name 1")[0].select("alias_token", "real_value")
+
+
+@query("SELECT variant, CASE WHEN variant = (SELECT min(variant) FROM payee_variant) THEN 'PAYEE-' || (SELECT 1 + max(CAST(regexp_extract(alias_token, '-([0-9]+)$', 1) AS BIGINT)) FROM alias_mapping WHERE entity_type = 'PAYEE') ELSE alias_token END AS alias_token FROM payee_variant")
+def alias_split_variant(s, d):
+    """The first spelling moves to a token of its own."""
+    mapping, variants = read_table(s, d, "alias_mapping"), read_table(s, d, "payee_variant")
+    least = variants.agg(F.min("variant")).first()[0]
+    return aliases.split_variant(mapping, variants, least)[1].select("variant", "alias_token")
+
+
+@query(f"SELECT variant, alias_token, confidence FROM payee_variant UNION ALL SELECT v, 'PAYEE-0', 0.5 FROM (SELECT DISTINCT {_KEY.format('raw_payee')} AS v FROM raw_transactions) WHERE v <> '' AND v NOT IN (SELECT variant FROM payee_variant)")
+def variant_upsert(s, d):
+    """Every spelling of the transactions brought as new: recorded ones keep their token."""
+    variants = read_table(s, d, "payee_variant").select("variant", "alias_token", "confidence")
+    new = _raw(s, d).select(text.variant_key(F.col("raw_payee")).alias("variant"), F.lit("PAYEE-0").alias("alias_token"), F.lit(0.5).alias("confidence")).where(F.col("variant") != "")
+    return aliases.upsert_variants(variants, new)
+
+
+@query(_RECORDS_SQL + "SELECT id, account, date, amount_cents FROM records WHERE date >= '2025-02-01' AND date <= '2025-04-30' AND account IN (SELECT token FROM acct JOIN statement_files f ON f.account_id = acct.real_value WHERE f.account_type = 'credit')")
+def scope_filter(s, d):
+    """Records of one window of the accounts of one type."""
+    kinds = read_table(s, d, "statement_files").join(aliases.resolve_values(read_table(s, d, "alias_mapping"), "ACCT"), F.col("account_id") == F.col("real_value")).select(F.col("token").alias("account"), "account_type")
+    return gate.scope(_records(s, d), "date", "2025-02-01", "2025-04-30", "account", kinds, "credit").select("id", "account", "date", "amount_cents")
+
+
+@query(f"""
+    WITH runs AS (SELECT id, unnest(regexp_extract_all(raw_memo, '[0-9]+')) AS m FROM raw_transactions)
+    SELECT DISTINCT * FROM (
+        SELECT id, 'luhn_card' AS kind, m AS match FROM runs WHERE length(m) BETWEEN 13 AND 19 AND {_LUHN}
+        UNION ALL SELECT id, 'aba_routing', m FROM runs WHERE length(m) = 9 AND ({_ABA_M}) % 10 = 0
+        UNION ALL SELECT id, 'ssn', unnest(regexp_extract_all(raw_memo, '\\b\\d{{3}}-\\d{{2}}-\\d{{4}}\\b')) FROM raw_transactions
+        UNION ALL SELECT id, 'ACCOUNT_ID', unnest(regexp_extract_all(raw_memo, '(?i)\\b[A-Z]{{3,}}-[A-Z]{{2,4}}-\\d{{4,}}\\b')) FROM raw_transactions
+        UNION ALL SELECT id, 'ROUTING_NUMBER', unnest(regexp_extract_all(raw_memo, '\\b\\d{{9}}\\b')) FROM raw_transactions)
+""")
+def lint_kinds(s, d):
+    """What the lint of a memo finds, without places."""
+    return checks.lint_text(_raw(s, d), "id", "raw_memo").select("id", "kind", "match").distinct()
+
+
+@query()
+def match_mentions(s, d):
+    """The entity of every raw payee as a mention of the recorded spellings."""
+    docs = _docs(s, d)
+    found = resolve.resolve(read_table(s, d, "payee_variant"), "variant")
+    return resolve.match(_raw(s, d).select(F.col("raw_payee").alias("mention")), found, resolve.generic_tokens(docs))

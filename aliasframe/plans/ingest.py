@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.amounts import cents
-from ..functions.text import display_label, token_number, variant_key
+from ..functions.text import display_label, memo_tokens, token_number, variant_key
 from ..operators import aliases, projection, resolve
 from ..session import checkpoint
 from ..sources.store import Store
@@ -27,13 +29,13 @@ def table(store: Store, name: str) -> DataFrame:
         return store.spark.createDataFrame([], TABLES[name])
 
 
-def _new_variants(raw: DataFrame, mapping: DataFrame, variants: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _new_variants(raw: DataFrame, mapping: DataFrame, variants: DataFrame, resolver: Callable[[DataFrame, str], DataFrame]) -> tuple[DataFrame, DataFrame]:
     """(mapping rows, variant rows) for the spellings not recorded yet; recorded ones keep their token."""
     spelt = raw.where(F.coalesce(F.col("raw_payee"), F.lit("")) != "").select(variant_key(F.col("raw_payee")).alias("variant"), "id").groupBy("variant").agg(F.min("id").alias("seen"))
     fresh = spelt.join(variants.select("variant"), "variant", "left_anti")
     if fresh.isEmpty():
         return mapping.limit(0), variants.limit(0)
-    found = resolve.resolve(variants.select("variant").union(fresh.select("variant")), "variant").select(F.col("memo").alias("variant"), "tokens", "entity", "confidence")
+    found = resolver(variants.select("variant").union(fresh.select("variant")), "variant").select(F.col("memo").alias("variant"), "tokens", "entity", "confidence")
     owner = found.join(variants.select("variant", "alias_token"), "variant").groupBy("entity").agg(F.min_by("alias_token", token_number(F.col("alias_token"))).alias("alias_token"))
     mine = checkpoint(found.join(fresh, "variant").join(owner, "entity", "left"))
     lone = mine.where(F.col("alias_token").isNull())
@@ -51,8 +53,8 @@ def _new_variants(raw: DataFrame, mapping: DataFrame, variants: DataFrame) -> tu
     return issued.select("alias_token", "entity_type", "real_value", F.lit(None).cast("string").alias("merged_into")), rows
 
 
-def ingest(store: Store, rows: DataFrame) -> DataFrame:
-    """Take rows of the ``statement`` source; returns the summary per file.
+def ingest(store: Store, rows: DataFrame, resolver: Callable[[DataFrame, str], DataFrame] = resolve.resolve) -> DataFrame:
+    """Take rows of the ``statement`` source; returns the summary per file. Any ``resolver`` with the columns of :func:`resolve.resolve` can stand in.
 
     Faulty rows stay out and are counted per file. Values brought again keep their tokens; raw rows are appended as they come.
     Nothing is written before every part is computed, and raw rows come last, so a failure leaves no row without its aliases.
@@ -67,7 +69,7 @@ def ingest(store: Store, rows: DataFrame) -> DataFrame:
     ))
     values = new.select(F.lit("ACCT").alias("entity_type"), F.col("account_id").alias("real_value"), F.col("id").alias("seen")).unionByName(new.select(F.lit("INST").alias("entity_type"), F.col("institution").alias("real_value"), F.col("id").alias("seen")))
     issued = checkpoint(aliases.issue(values, mapping, aliases.counters(mapping)))
-    more_map, more_variants = _new_variants(new, mapping, variants)
+    more_map, more_variants = _new_variants(new, mapping, variants, resolver)
     summary = checkpoint(projection.ingest_summary(new, mapping, variants).join(rows.where(F.col("reason").isNotNull()).groupBy("source_file").agg(F.count("*").alias("faulty")), "source_file", "full").na.fill(0))
     whole_map = checkpoint(mapping.select("alias_token", "entity_type", "real_value", "merged_into").unionByName(issued.select("alias_token", "entity_type", "real_value", F.lit(None).cast("string").alias("merged_into"))).unionByName(more_map.select("alias_token", "entity_type", "real_value", "merged_into")))
     whole_variants = checkpoint(variants.select("variant", "alias_token", "confidence").unionByName(more_variants.select("variant", "alias_token", "confidence")))
@@ -77,6 +79,16 @@ def ingest(store: Store, rows: DataFrame) -> DataFrame:
     return summary
 
 
+def payee_matcher(store: Store) -> Callable[[DataFrame], DataFrame]:
+    """``mention`` -> ``mention, token, score``: the head token of the payee that a mention means, by the evidence over all recorded spellings; mentions of no one have no row."""
+    mapping, variants = table(store, "alias_mapping"), table(store, "payee_variant")
+    spelt = variants.select(F.col("variant").alias("memo"), "alias_token").withColumn("tokens", memo_tokens(F.col("memo")))
+    at = aliases.heads(mapping)
+    known = spelt.join(at, F.col("alias_token") == F.col("token")).select(F.col("head").alias("entity"), "tokens")
+    common = resolve.generic_tokens(resolve.documents(variants, "variant"))
+    return lambda mentions: resolve.match(mentions, known, common).withColumnRenamed("entity", "token")
+
+
 def change(store: Store, how, *args) -> None:
     """Apply merge, split or rename to the store's dictionary and journal it."""
     mapping, row = how(table(store, "alias_mapping"), *args)

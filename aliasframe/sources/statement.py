@@ -2,7 +2,7 @@
 
 Options: ``path`` (file, folder or glob), ``account_id``, ``institution``, ``on_error`` (``row``: faulty records come out
 with their reason; ``drop``: left out), ``map.<field>`` (header that stands for a field). Every file is one partition,
-read and parsed on an executor; a CSV record's number is its ordinal below the header, blank records counted.
+read and parsed on an executor; :func:`read` gives the same rows from any file system; a CSV record's number is its ordinal below the header, blank records counted.
 """
 
 from __future__ import annotations
@@ -13,8 +13,14 @@ import os
 import re
 from datetime import datetime
 
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
 from ..operators.records import FIELDS, Fault, Record, header_names, normal_header, read_text
 
 SCHEMA = "source_file string, record_no int, account_id string, institution string, date string, amount double, description string, ttype string, fitid string, category string, reason string, reason_at int"
@@ -128,6 +134,41 @@ def ofx_rows(text: str):
     return account, bank, out
 
 
+def parsed(path: str, raw: bytes, options: dict):
+    """The rows (``SCHEMA``) of one file's bytes."""
+    text = decode(raw)
+    stem = os.path.splitext(os.path.basename(path))[0]
+    account, bank, mapped = None, None, {k[4:]: v for k, v in options.items() if k.startswith("map.")}
+    if looks_like_ofx(path, text):
+        account, bank, rows = ofx_rows(text)
+    else:
+        rows = csv_rows(text, mapped)
+    account = options.get("account_id") or account or stem
+    bank = options.get("institution") or bank or account
+    for number, v, reason, at in rows:
+        if reason is None or options.get("on_error", "row") == "row":
+            yield (path, number, account, bank, v.get("date"), v.get("amount"), v.get("description"), v.get("ttype"), v.get("fitid"), v.get("category"), reason, at)
+
+
+def read(spark: SparkSession, path: str | list[str], **options: str) -> DataFrame:
+    """The same rows from any file system that Spark reads: files are listed and read by the ``binaryFile`` source, and parsed in batches on the executors.
+
+    ``options`` are those of the data source (``map.date="Booked"`` as ``**{"map.date": "Booked"}``). One bad file gives rows with a reason, never an error.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.lower("path").rlike(r"\.(csv|ofx|qfx)$"))
+    types = to_arrow_schema(StructType.fromDDL(SCHEMA))
+
+    def run(batches):
+        for batch in batches:
+            for at, raw in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                found = list(parsed(at, raw, options))
+                for i in range(0, len(found), 10_000):
+                    part = found[i : i + 10_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), types.types, strict=True)], schema=types)
+
+    return files.select("path", "content").mapInArrow(run, SCHEMA)
+
+
 class _File(InputPartition):
     def __init__(self, path: str):
         self.path = path
@@ -148,20 +189,8 @@ class _Reader(DataSourceReader):
     def read(self, partition):
         if partition is None:
             return
-        options, path = self.options, partition.path
-        with open(path, "rb") as f:
-            text = decode(f.read())
-        stem = os.path.splitext(os.path.basename(path))[0]
-        account, bank, mapped = None, None, {k[4:]: v for k, v in options.items() if k.startswith("map.")}
-        if looks_like_ofx(path, text):
-            account, bank, rows = ofx_rows(text)
-        else:
-            rows = csv_rows(text, mapped)
-        account = options.get("account_id") or account or stem
-        bank = options.get("institution") or bank or account
-        for number, v, reason, at in rows:
-            if reason is None or options.get("on_error", "row") == "row":
-                yield (path, number, account, bank, v.get("date"), v.get("amount"), v.get("description"), v.get("ttype"), v.get("fitid"), v.get("category"), reason, at)
+        with open(partition.path, "rb") as f:
+            yield from parsed(partition.path, f.read(), self.options)
 
 
 class StatementSource(DataSource):
