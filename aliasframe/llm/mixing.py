@@ -77,7 +77,8 @@ def _exchanged(rows: DataFrame, taken: DataFrame, left: DataFrame, near: float)
         both = mine.select("source", "open", F.col("tokens").alias("size"), doc.alias("old"), F.lit(None).cast("struct<tokens:bigint,h:bigint,doc_id:bigint>").alias("new"))
         both = both.unionByName(free.select("source", "open", (F.col("tokens") - F.col("open")).alias("size"), F.lit(None).cast("struct<tokens:bigint,h:bigint,doc_id:bigint>").alias("old"), doc.alias("new")))
         w = Window.partitionBy("source").orderBy("size", "old", "new")
-        beside = both.select("source", "open", "new", "size", F.explode(F.array(F.last("old", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first("old", True).over(w.rowsBetween(0, Window.unboundedFollowing)))).alias("old"))
+        nearest = both.select("source", "open", "new", "size", F.last("old", True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("below"), F.first("old", True).over(w.rowsBetween(0, Window.unboundedFollowing)).alias("above"))
+        beside = nearest.select("source", "open", "new", "size", F.explode(F.array("below", "above")).alias("old"))
         gap = F.abs(F.col("old.tokens") - F.col("size"))
         best = beside.where(F.col("new").isNotNull() & F.col("old").isNotNull()).groupBy("source", "open").agg(F.min(F.struct(gap.alias("gap"), "old", "new")).alias("b")).where(F.col("b.gap") < F.abs("open"))
         best = checkpoint(best)

@@ -265,6 +265,23 @@ def test_mixing_shares_and_caps(spark):
     assert capped["tiny"]["most_uses"] == 3 and capped["tiny"]["used_tokens"] == 3 * capped["tiny"]["available"]
 
 
+def test_mixing_few_large_documents(spark):
+    docs = [(1, "few", 344), (2, "few", 1381), (3, "few", 1635), *((10 + i, "many", 7 + i % 40) for i in range(2000)), *((9000 + i, "huge", s) for i, s in enumerate((19000, 12000, 800, 750, 400, 90, 60, 45)))]
+    targets = spark.createDataFrame([("few", 0.05, 1), ("many", 0.9, 1), ("huge", 0.05, 1)], "source string, target_share double, max_repeats int")
+    chosen, report = mixing.mix(spark.createDataFrame(docs, "doc_id long, source string, tokens long"), targets, total=30_000)
+    rows, plan = chosen.collect(), {p["source"]: p for p in report.collect()}
+    assert all(abs(p["used_tokens"] - p["demand"]) <= max(0.004 * p["demand"], 40) for p in plan.values()) and len({x["doc_id"] for x in rows}) == len(rows)
+    assert not any(p["sets_size"] for p in plan.values())
+
+
+@pytest.mark.skipif(not __import__("os").path.exists("/root/testdata/sf0.01"), reason="no test tables here")
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_shares_of_the_test_tables(spark, size):
+    from aliasframe.llm.queries import p9_shares
+
+    assert all(abs(p["wanted_share"] - p["reached_share"]) < 0.01 for p in p9_shares(spark, f"/root/testdata/{size}").collect())
+
+
 @pytest.mark.skipif(not __import__("os").path.exists(VOCABULARY), reason="no vocabulary here")
 def test_token_sizes(spark):
     code = encoder()
