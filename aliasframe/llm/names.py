@@ -17,7 +17,9 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -369,6 +371,30 @@ def _rows(found: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate(_LINK.types)], schema=_LINK)
 
 
+def _shared(batches) -> Iterator[tuple[list[str], list[str]]]:
+    """(forms, cores) of the rows of sorted (form, core) whose form stands there more than once; the others never reach the interpreter one by one."""
+    held, given = None, False
+    for batch in batches:
+        rows = pa.RecordBatch.from_arrays([batch.column("form"), batch.column("core")], names=["form", "core"])
+        if held is not None:
+            rows = pa.concat_batches([held, rows])
+        n = rows.num_rows
+        if n == 0:
+            continue
+        keep = np.zeros(n, bool)
+        if n > 1:
+            forms = rows.column("form")
+            same = pc.equal(forms.slice(1), forms.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+            keep[1:] |= same
+            keep[:-1] |= same
+        out = keep.copy()
+        out[0] &= not (held is not None and given)  # it came out with the batch before
+        held, given = rows.slice(n - 1, 1), bool(keep[-1] or n == 1 and given)
+        kept = rows.filter(pa.array(out))
+        if kept.num_rows:
+            yield kept.column("form").to_pylist(), kept.column("core").to_pylist()
+
+
 def _link_batches(most: int):
     """Sorted (form, core) -> links of the cores that share a form, each with the form's rarity, 2 over the number of cores that share it.
 
@@ -383,9 +409,9 @@ def _link_batches(most: int):
 
     def run(batches):
         current, members, hot = None, [], False
-        for batch in batches:
+        for forms, cores_of in _shared(batches):
             found: list[tuple] = []
-            for form, core in zip(batch.column("form").to_pylist(), batch.column("core").to_pylist(), strict=True):
+            for form, core in zip(forms, cores_of, strict=True):
                 if form != current:
                     if current is not None and not hot:
                         found += flush(current, members)

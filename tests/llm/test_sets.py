@@ -103,6 +103,17 @@ def test_a_rewriting_shared_by_many_still_links(spark):
     assert len(got) > 128 and len({r["entity"] for r in got}) == 1
 
 
+def test_rows_whose_form_stands_alone_are_passed_over():
+    import pyarrow as pa
+
+    r = random.Random(4)
+    for size in (1, 2, 3, 7, 100):
+        rows = sorted((r.choice("abcdefghijklmnopqrst"), str(i)) for i in range(r.randint(0, 25)))
+        batches = [pa.RecordBatch.from_pydict({"form": [x for x, _ in rows[i : i + size]], "core": [y for _, y in rows[i : i + size]]}) for i in range(0, len(rows), size)]
+        got = [(f, c) for forms, cores in names._shared(batches) for f, c in zip(forms, cores, strict=True)]
+        assert got == [x for x in rows if sum(y[0] == x[0] for y in rows) > 1]
+
+
 @pytest.mark.parametrize("hot", [256, 3])
 def test_links_of_names_that_begin_alike(spark, hot):
     r = random.Random(21)
