@@ -23,6 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import STATES as _STATES
 from ..operators.graph import components
 from ..session import checkpoint
 
@@ -67,7 +68,7 @@ TRADES = frozenset(
 )
 TRADE_SHORT = frozenset("INC LLC LTD GMBH CORP PLC SA AG BV CO BROS BRS CTR CNTR CL CLN DNTL GRDN HDWE HRDWR INTL LAB LABS MGMT MGT MKT MRKT PHCY PHARM PROP REP RPR REST RSTRNT SPLY SRVC SVC SVCS TRANSP TRNSPT UTIL UTILS VET BKRY BAKRY COF FIT INS INSUR FITNSS N".split())
 
-STATES = frozenset("AL AK AZ AR CA CO CT DE FL GA HI ID IL IN IA KS KY LA ME MD MA MI MN MS MO MT NE NV NH NJ NM NY NC ND OH OK OR PA RI SC SD TN TX UT VT VA WA WV WI WY DC".split())
+STATES = frozenset((*_STATES, "DC"))
 
 _CHANNEL = re.compile(r"^(?:POS DEBIT|POS|ACH WEB|ACH|CHECKCARD|DEBIT CARD|RECURRING|RECUR|DD|SQ ?\*|TST ?\*|SP (?=\S)|PP ?\*|PAYPAL ?\*?|EC-KARTE|TPV)\s*")
 _PERSON_CHANNEL = re.compile(r"^(?:ZELLE(?: TO| FROM)?|VENMO ?\*?|IOU-APP|P2P XFER|CASH APP ?\*?)\s*")
