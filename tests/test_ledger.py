@@ -299,3 +299,28 @@ def test_near_links_are_all_pairs_of_the_ratio(spark):
     want = {frozenset((a, b)) for a in words for b in words if a != b and (resolve.similarity(a, b) >= 0.86 or resolve.similarity(b, a) >= 0.86)}
     assert got == want and len(want) > 60
     assert {frozenset(("STARBUCKS", "STRBCKS")), frozenset(("MARKT", "MARKET"))} <= got
+
+
+def test_near_links_write_little(spark):
+    from pathlib import Path
+
+    from aliasframe.session import ensure_checkpoint_dir
+
+    r = random.Random(5)
+    words = {"".join(r.choice(("BA", "DREN", "KOR", "MI", "TAL", "VOR", "ZE", "LUN")) for _ in range(r.randint(2, 5))) for _ in range(2000)}
+    folder = Path(ensure_checkpoint_dir(spark).removeprefix("file:"))
+    size = lambda: sum(f.stat().st_size for f in folder.rglob("*") if f.is_file())
+    before = size()
+    assert resolve.near_links(spark.createDataFrame([(w,) for w in words], "token string")).count() > 100
+    assert size() - before < 100 * len(words)
+
+
+def test_near_links_of_sought_words(spark):
+    r = random.Random(9)
+    word = lambda: "".join(r.choice(("BA", "DREN", "KOR", "MI", "TAL", "VOR")) for _ in range(r.randint(2, 9)))
+    known = {word() for _ in range(80)}
+    sought = {w[:i] + r.choice(("", "A", "R")) + w[i + 1 :] for w in known for i in (r.randrange(len(w)), r.randrange(len(w)))} - known
+    frame = lambda ws: spark.createDataFrame([(w,) for w in ws], "token string")
+    got = {frozenset((x["short"], x["long"])) for x in resolve.near_links(frame(known), frame(sought)).collect()}
+    want = {frozenset((a, b)) for a in known for b in sought if len(a) > 3 < len(b) and max(resolve.similarity(a, b), resolve.similarity(b, a)) >= 0.86}
+    assert {p for p in got if len(p & sought) == 1} == want and len(want) > 60
