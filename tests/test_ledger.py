@@ -324,3 +324,19 @@ def test_near_links_of_sought_words(spark):
     got = {frozenset((x["short"], x["long"])) for x in resolve.near_links(frame(known), frame(sought)).collect()}
     want = {frozenset((a, b)) for a in known for b in sought if len(a) > 3 < len(b) and max(resolve.similarity(a, b), resolve.similarity(b, a)) >= 0.86}
     assert {p for p in got if len(p & sought) == 1} == want and len(want) > 60
+
+
+def test_matches_compare_only_words_without_an_entity(spark, monkeypatch):
+    places = ["ALDERWOOD", "BIRCHTON", "CEDARVALE", "DOVERHAM"]
+    known = spark.createDataFrame([(f"{p} E", [p, "PHARMACY"]) for p in places] + [("Z", ["KORVANDREN"]), ("Y", ["KORVANDREM"])], "entity string, tokens array<string>")
+    asked = spark.createDataFrame([(m,) for m in ("PHARMACY DOVERHAM", "DOVERHAM X", "KORVANDRENT", "KORVANDRENS PHARMACY", "QQQQ", "CEDARVALES", None)], "mention string")
+    seen, links = [], resolve.near_links
+
+    def near_links(held, sought):
+        seen.append({x["token"] for x in sought.collect()})
+        return links(held, sought)
+
+    monkeypatch.setattr(resolve, "near_links", near_links)
+    got = {x["mention"]: (x["entity"], round(x["score"], 2)) for x in resolve.match(asked, known).collect()}
+    assert got == {"PHARMACY DOVERHAM": ("ALDERWOOD E", 1.0), "DOVERHAM X": ("DOVERHAM E", 1.0), "KORVANDRENT": ("Z", 0.95), "KORVANDRENS PHARMACY": ("ALDERWOOD E", 1.0), "CEDARVALES": ("CEDARVALE E", 0.95)}
+    assert seen == [{"KORVANDRENT", "QQQQ", "CEDARVALES"}]
