@@ -7,6 +7,8 @@ from collections import Counter
 from difflib import SequenceMatcher
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -340,3 +342,24 @@ def test_matches_compare_only_words_without_an_entity(spark, monkeypatch):
     got = {x["mention"]: (x["entity"], round(x["score"], 2)) for x in resolve.match(asked, known).collect()}
     assert got == {"PHARMACY DOVERHAM": ("ALDERWOOD E", 1.0), "DOVERHAM X": ("DOVERHAM E", 1.0), "KORVANDRENT": ("Z", 0.95), "KORVANDRENS PHARMACY": ("ALDERWOOD E", 1.0), "CEDARVALES": ("CEDARVALE E", 0.95)}
     assert seen == [{"KORVANDRENT", "QQQQ", "CEDARVALES"}]
+
+
+def test_texts_put_out_only_pieces_of_seeds():
+    from aliasframe.operators.sieve import LEAST
+
+    seeds = ["zelle to fenlorros", "x korvan international", "sterbucks", "***"]
+    pieces = {p for s in seeds for p in checks._pieces(s)}
+    bitmap = np.zeros(1 << LEAST - 6, np.uint64)
+    for h in next(iter(checks._hash_batches([pa.RecordBatch.from_pydict({"piece": sorted(pieces)})])))["h"].to_pylist():
+        bitmap[h % (1 << LEAST) >> 6] |= np.uint64(1 << h % 64)
+    texts = ["the statement of the account was paid by card, then by cheque " * 50, "mysterbucksy and zelle to fenlorrosa", "a*** b_korvan", ""]
+    batch = pa.RecordBatch.from_pydict({"k": [1, 2, 3, 4], "t": texts})
+    got = next(iter(checks._said_batches(bitmap, {"w", "b09", "g09", "s", "e05"})([batch])))
+    rows = sorted(zip(got["k"].to_pylist(), got["piece"].to_pylist(), strict=True))
+    assert {r for r in rows if r[1] in pieces} == {(2, "g09sterbucks"), (2, "wto"), (2, "b09fenlorros"), (2, "e05zelle"), (3, "s*"), (3, "wkorvan")} and len(rows) <= 8
+
+
+def test_seeds_meet_on_the_rarest_piece(spark):
+    seeds = [f"{a}korvan {b} international" for a in "abcdefgh" for b in ("zebdren", "fenmulk", "quinros")]
+    df = spark.createDataFrame([(1, "NKORVAN FENMULK INTERNATIONAL"), (2, "we sing bkorvan quinros internationale")], "k int, t string")
+    assert {tuple(r) for r in checks.seed_hits(df, "k", "t", spark.createDataFrame([(s,) for s in seeds], "seed string")).collect()} == {(2, "bkorvan quinros international")}
